@@ -58,7 +58,7 @@ REFUSALS = re.compile(
 
 #: Frequent small words, by language; a text's language is that of most of them.
 SMALL_WORDS = {
-    "en": frozenset("the of and in to is was were with by at for from that this not but no nor neither it its as on after before than under only had has have does do which whether when while between during whereas could any be been are or an so".split()),
+    "en": frozenset("a the of and in to is was were with by at for from that this not but no nor neither it its as on after before than under only had has have does do which whether when while between during whereas could any be been are or an so".split()),
     "de": frozenset("der die das und ist war wurde wurden mit von im in den dem des ein eine einer einem einen nicht auf für zu bei nach unter durch dass ob kein keine hat haben wir sich als auch nur aber oder jedoch zwar noch weder während ohne dadurch schon es werden wird".split()),
     "es": frozenset("el la los las de del y en que se no con por para un una es fue al lo su sus como más ni sin pero entre hasta desde si sobre tras antes después vimos medimos o ha han está esta este son cuando donde también a".split()),
 }
