@@ -12,7 +12,7 @@ ABSOLUTE_PATH = r"/(?:home|storage|mnt)/|(?<![A-Za-z0-9])[A-Za-z]:[/\\]"
 #: Claims about all literature or about what was never measured.
 OVERCLAIM = r"(?i)全(?:部|体)文献.*(?:没有|不存在)|实验(?:从未|未曾|没有|未)测|never measured|no evidence anywhere|all literature"
 
-_WORD = r"(?U)[\w-]{3,}"
+_WORD = r"[\p{L}\p{N}_-]{3,}"
 _END = ".!?。！？"
 
 
