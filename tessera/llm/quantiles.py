@@ -38,13 +38,15 @@ def day_runs(df: DataFrame, keys: Sequence[str], value: str, row_key: str, day:
     Rows of null, NaN or infinite ``value`` and of null ``row_key`` are left out;
     rows of one ``row_key`` count once in a group and day, with the least of
     their values, should they differ.  Null keys and a null day are groups of
-    their own.  An empty table gives no runs.
+    their own.  Keys can't be named like the other columns of the runs.  An empty
+    table gives no runs.
     """
     number = F.col(value).cast("double")
     rows = df.where(number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf")) & F.col(row_key).isNotNull())
-    rows = rows.select(*keys, F.to_date(day).alias("day"), F.xxhash64(row_key).alias("h"), number.alias("v"))
+    inner = [f"_key{k}" for k in range(len(keys))]
+    rows = rows.select(*(F.col(k).alias(i) for k, i in zip(keys, inner)), F.to_date(day).alias("day"), F.xxhash64(row_key).alias("h"), number.alias("v"))
     rows = rows.withColumn("bucket", F.expr(f"pmod(h, {buckets})").cast("int"))
-    at = [*keys, "day", "bucket"]
+    at = [*inner, "day", "bucket"]
     once = rows.repartition(*at).groupBy(*at, "h").agg(F.min("v").alias("v"))
     runs = once.groupBy(*at).agg(F.sort_array(F.collect_list("v")).alias("vs"))
     n = F.size("vs")
@@ -61,7 +63,8 @@ def day_runs(df: DataFrame, keys: Sequence[str], value: str, row_key: str, day:
             ),
         )
     )
-    return runs.select(*at, F.col("n").cast("long").alias("n"), F.when(F.col("w") > 1, F.expr("(w + 1) div 2")).otherwise(0).cast("long").alias("off"), points.alias("points"))
+    named = [F.col(i).alias(k) for k, i in zip(keys, inner)]
+    return runs.select(*named, "day", "bucket", F.col("n").cast("long").alias("n"), F.when(F.col("w") > 1, F.expr("(w + 1) div 2")).otherwise(0).cast("long").alias("off"), points.alias("points"))
 
 
 _STEP = "gid long, t int, less long, same long, more long, under double, over double"
@@ -124,7 +127,8 @@ def select(runs: DataFrame, keys: Sequence[str], percentiles: Sequence[float], b
     """
     spark = runs.sparkSession
     stage = Stage(spark, "quantiles")
-    runs = stage.put(runs)
+    names, keys = list(keys), [f"_key{k}" for k in range(len(keys))]
+    runs = stage.put(runs.withColumnsRenamed(dict(zip(names, keys))))
     groups = stage.put(runs.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("off").alias("rank_error"), F.sum(F.size("points").cast("long")).alias("kept")).withColumn("gid", F.monotonically_increasing_id()))
     n_groups = groups.count()
     few = sized(groups, n_groups)
@@ -185,4 +189,4 @@ def select(runs: DataFrame, keys: Sequence[str], percentiles: Sequence[float], b
     out = wanted.join(low, ["gid", "low"]).join(high, ["gid", "high"])
     part = at - F.floor(at)
     value = F.when(F.col("low") == F.col("high"), F.col("low_value")).otherwise(F.col("low_value") * (1 - part) + F.col("high_value") * part)
-    return out.select(*keys, "n", "rank_error", "p", value.alias("value"))
+    return out.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), "n", "rank_error", "p", value.alias("value"))
