@@ -48,7 +48,7 @@ def measurement_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.valid_rows(measured(spark, sf_dir)).groupBy("experiment_id").agg(F.count("*").alias("rows"), F.count_distinct("islet_id").alias("islets"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return metrics.valid_rows(measured(spark, sf_dir)).groupBy("experiment_id").agg(F.count("*").alias("rows"), F.count_distinct("islet_id").alias("islets"), F.min(F.col("value") + F.lit(0.0)).alias("low"), F.max(F.col("value") + F.lit(0.0)).alias("high"))
 
 
 def pushed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +181,7 @@ SELECT t.id, q.experiment_id, q.metric, q.wavelength_nm, q.aggregation, coalesce
 CASE q.aggregation WHEN 'mean' THEN m.mean_value WHEN 'median' THEN m.median_value END AS value, m.n_rows, m.n_units
 FROM t LEFT JOIN m ON m.experiment_id = q.experiment_id AND m.metric = q.metric AND m.wavelength_nm = q.wavelength_nm""",
     "a3_measurement_catalog": "SELECT DISTINCT experiment_id, wavelength_nm, metric, unit FROM measurements",
-    "proj10_clean_measurements": f"SELECT experiment_id, count(*) AS rows, count(DISTINCT islet_id) AS islets, min(value) AS low, max(value) AS high FROM {_M} WHERE value IS NOT NULL AND isfinite(value) AND trim(islet_id) <> '' AND wavelength_nm IS NOT NULL GROUP BY 1",
+    "proj10_clean_measurements": f"SELECT experiment_id, count(*) AS rows, count(DISTINCT islet_id) AS islets, min(value + 0.0) AS low, max(value + 0.0) AS high FROM {_M} WHERE value IS NOT NULL AND isfinite(value) AND trim(islet_id) <> '' AND wavelength_nm IS NOT NULL GROUP BY 1",
     "s6_pushed_scan": "SELECT DISTINCT row_id, experiment_id, value, unit FROM measurements WHERE split = 'dev' AND wavelength_nm = 488 AND metric = 'intensity_mean'",
     "f2_row_hashes": """SELECT DISTINCT id, sha256('{"group_id":' || to_json(group_id) || ',"id":' || to_json(id) || ',"question":' || to_json(question) || ',"split":' || coalesce(CAST(to_json(split) AS VARCHAR), 'null') || '}') AS hash,
 'pair-' || left(sha256('{"pair_id":' || coalesce(CAST(to_json(pair_id) AS VARCHAR), 'null') || ',"side":' || to_json(side) || '}'), 24) AS short_id FROM tasks""",
