@@ -11,7 +11,7 @@ rank error (0: exact).
 size; each block proposes the median of what is left of it, the weighted median
 of the proposals is the pivot, the blocks count three ways, the side without
 the wanted rank is discarded, and so on for all groups and percentiles at once
-until each is found.
+until each is found or the few values left can be put in order.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ RANK_ERROR = 0.0005
 BUCKETS = 8
 #: Values of a block, about.
 BLOCK = 262_144
+#: When no target has more values left than these, they are put in order at once.
+REST = 64
 
 
 def day_runs(df: DataFrame, keys: Sequence[str], value: str, row_key: str, day: str, error: float = RANK_ERROR, buckets: int = BUCKETS) -> DataFrame:
@@ -117,6 +119,23 @@ def _trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"gid": batch.column("gid").take(pa.array(some)), "vs": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([kept_v[k] for k in some]))), "ws": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([kept_w[k] for k in some]).astype(np.int32)))})
 
 
+def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is left of each target, value by value."""
+    for batch in batches:
+        out: dict[str, list] = {"gid": [], "t": [], "todo": [], "v": [], "w": []}
+        states, gids = batch.column("targets").to_pylist(), batch.column("gid").to_pylist()
+        for row in range(batch.num_rows):
+            v = batch.column("vs")[row].values.to_numpy(zero_copy_only=False)
+            w = batch.column("ws")[row].values.to_numpy(zero_copy_only=False)
+            for s in states[row]:
+                i = np.searchsorted(v, s["lo"], "right") if s["lo"] is not None else 0
+                j = np.searchsorted(v, s["hi"], "left") if s["hi"] is not None else len(v)
+                n = max(0, j - i)
+                for name, items in (("gid", [gids[row]] * n), ("t", [s["t"]] * n), ("todo", [s["todo"]] * n), ("v", v[i:j].tolist()), ("w", w[i:j].tolist())):
+                    out[name] += items
+        yield pa.RecordBatch.from_pydict({"gid": pa.array(out["gid"], pa.int64()), "t": pa.array(out["t"], pa.int32()), "todo": pa.array(out["todo"], pa.int64()), "v": pa.array(out["v"], pa.float64()), "w": pa.array(out["w"], pa.int64())})
+
+
 def select(runs: DataFrame, keys: Sequence[str], percentiles: Sequence[float], block: int = BLOCK) -> DataFrame:
     """(keys..., n, rank_error, p, value): percentiles of the union of runs, one row each.
 
@@ -150,10 +169,16 @@ def select(runs: DataFrame, keys: Sequence[str], percentiles: Sequence[float], b
     done: list[DataFrame] = []
     held = None  # values in blocks, when they were last written
     while True:
-        open_, left = state.agg(F.count("*"), F.sum("left")).first()
+        open_, left, most = state.agg(F.count("*"), F.sum("left"), F.max("left")).first()
         if not open_:
             break
-        asked = sized(state.groupBy("gid").agg(F.collect_list(F.struct("t", "lo", "hi", "pivot")).alias("targets")), n_groups)
+        asked = sized(state.groupBy("gid").agg(F.collect_list(F.struct("t", "todo", "lo", "hi", "pivot")).alias("targets")), n_groups)
+        if most <= REST:
+            rest = blocks.join(asked, "gid").mapInArrow(_rest, "gid long, t int, todo long, v double, w long").groupBy("gid", "t", "todo").agg(F.sort_array(F.collect_list(F.struct("v", "w"))).alias("x"))
+            none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("v"))
+            pick = F.aggregate("x", none, lambda a, x: F.struct((a["n"] + x["w"]).alias("n"), F.coalesce(a["v"], F.when(a["n"] + x["w"] >= F.col("todo"), x["v"])).alias("v")))["v"]
+            done.append(stage.put(rest.select("gid", "t", pick.alias("value")).join(state.select("gid", "t", "rank"), ["gid", "t"]).select("gid", "rank", "value")))
+            break
         if held is None:
             held = groups.agg(F.sum("kept")).first()[0]
         elif left < held / 2:
@@ -178,7 +203,7 @@ def select(runs: DataFrame, keys: Sequence[str], percentiles: Sequence[float], b
         new = stage.put(new)
         done.append(new.where("value IS NOT NULL").select("gid", "rank", "value"))
         state = new.where("value IS NULL")
-    values = state.select("gid", "rank", "value")
+    values = state.select("gid", "rank", "value").limit(0)
     for more in done:
         values = values.union(more)
     wanted = groups.select("gid", *keys, "n", "rank_error", F.explode(F.array(*(F.lit(float(p)) for p in percentiles))).alias("p"))
