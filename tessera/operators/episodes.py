@@ -1,0 +1,79 @@
+"""Recorded episodes: scoring of answers, selections, draws and thresholds."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessera.functions.numeric import close, ratio
+from tessera.functions.text import OVERCLAIM
+
+
+def _all(items: Column, test) -> Column:
+    return F.coalesce(F.forall(items, test), F.lit(True))
+
+
+def citations_read(claims: Column, read: Column, texts: Column) -> Column:
+    """Whether every claim (evidence_id, quote) quotes, not blank, what was read; ``texts`` maps read ids to their texts."""
+    return _all(claims, lambda c: F.array_contains(read, c["evidence_id"]) & (F.trim(c["quote"]) != "") & F.coalesce(F.contains(F.element_at(texts, c["evidence_id"]), c["quote"]), F.lit(False)))
+
+
+def exact_answer(claims: Column, targets: Column) -> Column:
+    """Whether a claim is one of the target claims (evidence_id, quote), word for word."""
+    return F.coalesce(F.exists(claims, lambda c: F.exists(targets, lambda t: (t["evidence_id"] == c["evidence_id"]) & (t["quote"] == c["quote"]))), F.lit(False))
+
+
+def numeric_answer(values: Column, results: Column, unit: Column, reference: Column) -> Column:
+    """Whether there is one value (result_id, value, unit), of a result of the episode, with the unit and close to the recomputed value."""
+    fits = lambda x: F.array_contains(results, x["result_id"]) & (x["unit"] == unit) & close(x["value"], reference)
+    return F.coalesce((F.size(values) == 1) & _all(values, fits), F.lit(False))
+
+
+def passed(dimensions: Mapping[str, Column]) -> Column:
+    """struct<passed, failed>: whether all dimensions hold, and which do not."""
+    failed = F.array_compact(F.array(*(F.when(~F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in dimensions.items())))
+    return F.struct((F.size(failed) == 0).alias("passed"), failed.alias("failed"))
+
+
+def no_overclaim(reason: Column) -> Column:
+    return ~F.coalesce(reason.rlike(OVERCLAIM), F.lit(False))
+
+
+def without_timing(rows: DataFrame, column: str, *fields: str) -> DataFrame:
+    """A struct column without the named fields, at any depth named by dots."""
+    return rows.withColumn(column, F.col(column).dropFields(*fields))
+
+
+def selection_coverage(rows: DataFrame, selected: Column, pair: str = "pair_id", family: str = "task_kind") -> DataFrame:
+    """(pairs, complete_pairs, partial_pairs, families, selected_families): how whole a selection leaves pairs and families."""
+    per = rows.withColumn("_s", selected).where(F.col(pair).isNotNull()).groupBy(pair).agg(F.bool_and("_s").alias("_all"), F.bool_or("_s").alias("_any"))
+    kinds = rows.withColumn("_s", selected).groupBy(family).agg(F.bool_or("_s").alias("_any"))
+    a = per.agg(F.count("*").alias("pairs"), F.count_if("_all").alias("complete_pairs"), F.count_if(F.col("_any") & ~F.col("_all")).alias("partial_pairs"))
+    b = kinds.agg(F.count("*").alias("families"), F.count_if("_any").alias("selected_families"))
+    return a.crossJoin(F.broadcast(b))
+
+
+def draw_plan(rows: DataFrame, order: Sequence[str], repeats: int, seed: int = 0) -> DataFrame:
+    """Every row with a number by order, its repeats, and a seed for each draw."""
+    numbered = rows.withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1)
+    return numbered.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("seed", F.lit(seed).cast("long") + F.col("place") * 10000 + F.col("repeat") * 100)
+
+
+def sample_groups(rows: DataFrame, group: str, n: int, seed: int) -> DataFrame:
+    """All rows of the ``n`` groups that a hash of the seed puts first."""
+    chosen = rows.select(group).where(F.col(group).isNotNull()).distinct().orderBy(F.xxhash64(F.lit(seed), group), group).limit(n)
+    return rows.join(F.broadcast(chosen), group, "left_semi")
+
+
+def thresholds(rows: DataFrame, checks: Mapping[str, tuple[Column, Column, float, int]]) -> DataFrame:
+    """(check, n, hits, threshold, status): BLOCK where too few rows bear on a check, else PASS or FAIL by its rate.
+
+    A check is (which rows bear on it, which of them hold, the least rate, the
+    least number of rows).
+    """
+    parts = F.array(*(F.struct(F.lit(name).alias("check"), F.count_if(on).alias("n"), F.count_if(on & holds).alias("hits"), F.lit(float(rate)).alias("threshold"), F.lit(least).cast("long").alias("least")) for name, (on, holds, rate, least) in checks.items()))
+    out = rows.agg(parts.alias("p")).select(F.inline("p"))
+    status = F.when(F.col("n") < F.col("least"), "BLOCK").when(ratio(F.col("hits"), F.col("n")) >= F.col("threshold"), "PASS").otherwise("FAIL")
+    return out.select("check", "n", "hits", "threshold", status.alias("status"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("measures", "evaluation", "validation", "search", "traces", "review", "p6")
+MODULES: tuple[str, ...] = ("measures", "evaluation", "validation", "search", "traces", "review", "episodes", "p6")
 
 
 def _collect(attribute: str) -> dict:
