@@ -53,8 +53,18 @@ def key(prefix: str, value: Column, fold: bool = False) -> Column:
     return F.when(F.length(bare) > 0, F.concat(F.lit(prefix), F.lower(bare) if fold else value))
 
 
-def _trees(column: str):
-    """From (column, keys) rows of a task: the tree of each record, and the tree's keys."""
+def _trees(column: str, at_most: int = 0):
+    """From (column, keys) rows of a task: the tree of each record, and the tree's keys; forests of about ``at_most`` nodes, if given."""
+
+    def emit(forest: Forest, holder: dict[str, str], records: dict[str, None]) -> Iterator[pa.RecordBatch]:
+        records = list(records)
+        for at in range(0, len(records), 50_000):
+            part = records[at : at + 50_000]
+            yield pa.RecordBatch.from_pydict({"record": pa.array(part, pa.string()), "root": pa.array([forest.root(r) for r in part], pa.string()), "key": pa.nulls(len(part), pa.string())})
+        keys = list(holder)
+        for at in range(0, len(keys), 50_000):
+            part = keys[at : at + 50_000]
+            yield pa.RecordBatch.from_pydict({"record": pa.nulls(len(part), pa.string()), "root": pa.array([forest.root(holder[k]) for k in part], pa.string()), "key": pa.array(part, pa.string())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, holder, records = Forest(), {}, {}
@@ -64,15 +74,11 @@ def _trees(column: str):
                 for k in keys or ():
                     if k is not None:
                         forest.join(record, holder.setdefault(k, record))
-        records = list(records)
-        roots = [forest.root(r) for r in records]
-        for at in range(0, len(records), 50_000):
-            part = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_pydict({"record": pa.array(records[part], pa.string()), "root": pa.array(roots[part], pa.string()), "key": pa.nulls(len(records[part]), pa.string())})
-        keys = list(holder)
-        for at in range(0, len(keys), 50_000):
-            part = keys[at : at + 50_000]
-            yield pa.RecordBatch.from_pydict({"record": pa.nulls(len(part), pa.string()), "root": pa.array([forest.root(holder[k]) for k in part], pa.string()), "key": pa.array(part, pa.string())})
+            # a forest is closed at a bounded size; the next one starts empty and is joined to it a level higher
+            if at_most and len(records) + len(holder) > at_most:
+                yield from emit(forest, holder, records)
+                forest, holder, records = Forest(), {}, {}
+        yield from emit(forest, holder, records)
 
     return run
 
@@ -91,7 +97,7 @@ def related_groups(df: DataFrame, id: str, keys: Column, forest_edges: int = FOR
     spark = df.sparkSession
     stage = Stage(spark, "groups")
     rows = df.where(F.col(id).isNotNull()).select(F.col(id).cast("string").alias("record"), keys.alias("keys"))
-    first = stage.put(rows.mapInArrow(_trees("record"), _TREES))
+    first = stage.put(rows.mapInArrow(_trees("record", forest_edges), _TREES))
     maps: list[DataFrame] = []
     edges = first.where("key IS NOT NULL").select("root", "key")
     before = None
