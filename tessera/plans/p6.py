@@ -24,6 +24,13 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).select("record_key", "child_path", "ordinals").distinct()
 
 
+def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The children of the tables whose columns are nested already."""
+    pilot = shred_columns(table(spark, sf_dir, "pilot_5_questions"), "question_id", CLAIMS)
+    pool = shred_columns(table(spark, sf_dir, "review_pool_assessment"), "assessment_id", TEXTS)
+    return pilot.unionByName(pool).select("record_key", "child_path", "ordinals", "parent_ordinals")
+
+
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(nodes(spark, sf_dir))
 
@@ -41,5 +48,18 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subtype(nodes(spark, sf_dir), "fulltext.sections.paragraphs", "paragraph_id string, n_chars int")
 
 
-QUERIES = {"p6_found": found, "p6_nodes": nodes, "p6_variants": shapes, "p6_claims": claims, "p6_evidence": evidence, "p6_paragraphs": paragraphs}
-ORACLES: dict[str, str] = {}
+_P = "(SELECT question_id AS k, required_claims AS c, source_reviews AS r FROM pilot_5_questions)"
+_F = "(SELECT assessment_id AS k, fulltext.sections AS s FROM review_pool_assessment WHERE fulltext IS NOT NULL)"
+_AT = "unnest({0}) AS {1}, unnest(range(len({0}))) AS {2}"
+QUERIES = {"p6_found": found, "p6_nodes": nodes, "p6_columns": columns, "p6_variants": shapes, "p6_claims": claims, "p6_evidence": evidence, "p6_paragraphs": paragraphs}
+ORACLES = {
+    "p6_columns": f"""
+WITH c AS (SELECT DISTINCT k, x, i FROM (SELECT k, {_AT.format('c', 'x', 'i')} FROM {_P}) WHERE x IS NOT NULL),
+s AS (SELECT DISTINCT k, x, i FROM (SELECT k, {_AT.format('s', 'x', 'i')} FROM {_F}) WHERE x IS NOT NULL)
+SELECT k AS record_key, 'required_claims' AS child_path, CAST(i AS VARCHAR) AS ordinals, NULL AS parent_ordinals FROM c
+UNION SELECT k, 'required_claims.evidence', i || '.' || j, CAST(i AS VARCHAR) FROM (SELECT k, i, {_AT.format('x.evidence', 'e', 'j')} FROM c) WHERE e IS NOT NULL
+UNION SELECT k, 'source_reviews', CAST(i AS VARCHAR), NULL FROM (SELECT k, {_AT.format('r', 'x', 'i')} FROM {_P}) WHERE x IS NOT NULL
+UNION SELECT k, 'fulltext', '0', NULL FROM {_F}
+UNION SELECT k, 'fulltext.sections', '0.' || i, '0' FROM s
+UNION SELECT k, 'fulltext.sections.paragraphs', '0.' || i || '.' || j, '0.' || i FROM (SELECT k, i, {_AT.format('x.paragraphs', 'e', 'j')} FROM s) WHERE e IS NOT NULL""",
+}

@@ -100,6 +100,10 @@ QUERIES = {
     "a28_coverage": coverage, "a28_coverage_by_route": coverage_by_route, "a28_pair_coverage": pair_coverage, "a26_route_costs": route_costs, "f23_f24_token_rows": tokens, "j15_w11_first_of_group": first_of_group,
 }
 ORACLES = {
+    "w6_hash_chain": f"""
+WITH RECURSIVE s AS (SELECT {T} AS t, row_number() OVER (PARTITION BY {T} ORDER BY {S}) AS k, count(*) OVER (PARTITION BY {T}) AS n, '{{"id":' || to_json(id) || ',"{S}":' || {S} || ',"route":' || to_json(route) || '}}' AS p FROM {_S}),
+c AS (SELECT t, CAST(0 AS BIGINT) AS k, n, sha256(t) AS h FROM s WHERE s.k = 1 UNION ALL SELECT c.t, s.k, c.n, sha256('{{"previous":"' || c.h || '","step":' || s.p || '}}') FROM c JOIN s ON s.t = c.t AND s.k = c.k + 1)
+SELECT t AS {T}, CAST(n AS INTEGER) AS n, h AS chain FROM c WHERE k = n""",
     "w1_step_order": f"SELECT {T}, {S}, row_number() OVER w - 1 = {S} AS in_place, lead({S}) OVER w IS NULL AS terminal FROM {_S} WINDOW w AS (PARTITION BY {T} ORDER BY {S})",
     "w5_w7_running": f"SELECT {T}, {S}, CAST(sum(input_char_count) OVER w AS BIGINT) AS chars, bool_or(input_char_count > 500) OVER w AS long_seen FROM {_S} WINDOW w AS (PARTITION BY {T} ORDER BY {S} ROWS UNBOUNDED PRECEDING)",
     "w8_histories": f"SELECT {T}, {S}, CAST(coalesce(sum(input_char_count) OVER w, 0) AS BIGINT) AS history_chars, count(*) OVER w AS history_steps FROM {_S} WINDOW w AS (PARTITION BY {T} ORDER BY {S} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",

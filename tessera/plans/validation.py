@@ -152,6 +152,13 @@ ORACLES = {
     "v5_incomplete_pairs": f"SELECT pair_id, list_sort(list(DISTINCT side)) AS present, count(DISTINCT id) AS members FROM {_T} WHERE pair_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT side) <> 2 OR count(DISTINCT id) <> 2",
     "v6_conflicting_rows": "SELECT group_id FROM tasks GROUP BY 1 HAVING count(DISTINCT struct_pack(a := split, b := source_version)) > 1",
     "j9_unresolved_links": "SELECT question_id, ref, count(*) AS n FROM (SELECT question_id, unnest(source_reviews) AS ref FROM (SELECT DISTINCT ON (question_id) * FROM pilot_5_questions)) WHERE ref IS NOT NULL AND ref NOT IN (SELECT 'PMID:' || bibliography.pmid FROM review_pool_assessment WHERE bibliography.pmid IS NOT NULL) GROUP BY 1, 2",
+    "v7_cited_not_listed": "SELECT question_id, CAST(coalesce(len(x), 0) AS INTEGER) AS extra FROM (SELECT question_id, n, list_filter(c, lambda e: NOT list_contains(coalesce(source_reviews, []), e)) AS x FROM (SELECT question_id, source_reviews, c, len(c) AS n FROM (SELECT DISTINCT ON (question_id) question_id, source_reviews, list_distinct(list_filter(flatten(list_transform(required_claims, lambda r: list_transform(coalesce(r.evidence, []), lambda e: e.source_review))), lambda e: e IS NOT NULL)) AS c FROM pilot_5_questions))) WHERE len(x) > 0 OR coalesce(n, 0) = 0",
+    "v13_v14_record_contract": """
+WITH r AS (SELECT DISTINCT ON (id) *, completion[1].content AS c FROM verifier_records)
+SELECT failed, count(*) AS records FROM (SELECT CASE WHEN coalesce(trim(id), '') = '' THEN 'id' WHEN coalesce(trim(task_id), '') = '' THEN 'task_id' WHEN metadata.split IS DISTINCT FROM 'train' THEN 'split' WHEN metadata.dataset_mode = 'raw_source_pending_label_transfer' THEN 'mode'
+WHEN list_transform(prompt, lambda m: m.role) IS DISTINCT FROM ['system', 'user'] THEN 'prompt_roles' WHEN NOT coalesce(len(completion) = 1 AND completion[1].role = 'assistant', false) THEN 'completion_role'
+WHEN len(list_filter(list_concat(prompt, completion), lambda m: coalesce(trim(m.content), '') = '')) > 0 THEN 'content' WHEN NOT coalesce(json_valid(c), false) THEN 'json'
+WHEN NOT coalesce(json_extract_string(c, '$.labels.evidence_support') IN ('supported', 'insufficient', 'contradicted', 'mixed'), false) THEN 'label' ELSE 'ok' END AS failed FROM r) GROUP BY 1""",
     "v8_anchors_in_documents": "SELECT doc_id, item_id FROM documents, (SELECT item_id, left(question, 60) AS anchor FROM eval_items WHERE length(question) >= 60) WHERE contains(lower(text), lower(anchor))",
     "v9_secrets": r"SELECT count(*) AS documents FROM documents WHERE regexp_matches(text, '(?i)sk-[A-Za-z0-9_-]{16,}|Bearer\s+[A-Za-z0-9._-]{16,}|(?:api[_ -]?key|access[_ -]?token|password)\s*[:=]\s*\S+')",
     "f11_overclaims": "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)全(?:部|体)文献.*(?:没有|不存在)|实验(?:从未|未曾|没有|未)测|never measured|no evidence anywhere|all literature')",
