@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.numbering import numbered
 from tessera.functions.numeric import close, ratio
 from tessera.functions.text import OVERCLAIM
 
@@ -57,8 +58,7 @@ def selection_coverage(rows: DataFrame, selected: Column, pair: str = "pair_id",
 
 def draw_plan(rows: DataFrame, order: Sequence[str], repeats: int, seed: int = 0) -> DataFrame:
     """Every row with a number by order, its repeats, and a seed for each draw."""
-    numbered = rows.withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1)
-    return numbered.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("seed", F.lit(seed).cast("long") + F.col("place") * 10000 + F.col("repeat") * 100)
+    return numbered(rows, *order).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("seed", F.lit(seed).cast("long") + F.col("place") * 10000 + F.col("repeat") * 100)
 
 
 def sample_groups(rows: DataFrame, group: str, n: int, seed: int) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.numbering import numbered
 from tessera.functions.numeric import ratio, wilson
+from tessera.functions.staging import sized
 
 SUPPORT_LABELS = ("supported", "insufficient", "contradicted", "mixed")
 
@@ -132,14 +134,14 @@ def group_bootstrap(rows: DataFrame, cluster: str, value: str, samples: int = 20
     sums by how often each was drawn.
     """
     sums = rows.groupBy(cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(value).alias("c"))
-    numbered = sums.withColumn("k", F.row_number().over(Window.orderBy(cluster)) - 1)
-    n = numbered.count()
+    clusters = numbered(sums, F.col(cluster), name="k")
+    n = clusters.count()
     point = sums.agg(ratio(F.sum("s"), F.sum("c")).alias("point"))
     if n < 2:
         return point.select(F.lit(n).cast("long").alias("clusters"), "point", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
     slots = rows.sparkSession.range(samples * n).select((F.col("id") / n).cast("long").alias("sample"), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n)).alias("k"))
     drawn = slots.groupBy("sample", "k").agg(F.count("*").alias("times"))
-    means = drawn.join(F.broadcast(numbered), "k").groupBy("sample").agg(ratio(F.sum(F.col("times") * F.col("s")), F.sum(F.col("times") * F.col("c"))).alias("m"))
+    means = drawn.join(sized(clusters, n), "k").groupBy("sample").agg(ratio(F.sum(F.col("times") * F.col("s")), F.sum(F.col("times") * F.col("c"))).alias("m"))
     ordered = means.agg(F.sort_array(F.collect_list("m")).alias("ms"))  # of length samples
     low, high = int(samples * 0.025) - 1, int(samples * 0.975) - 1
     return ordered.crossJoin(F.broadcast(point)).select(F.lit(n).cast("long").alias("clusters"), "point", F.col("ms")[low].alias("low"), F.col("ms")[high].alias("high"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import finite
@@ -15,12 +15,6 @@ def valid_rows(rows: DataFrame, value: str = "value", unit: str = "islet_id", ch
     return rows.where(finite(F.col(value)) & (F.trim(F.col(unit)) != "") & F.col(channel).isNotNull())
 
 
-def _many(*columns: str) -> Column:
-    """Whether a group has two or more different (null-safe) values of the columns."""
-    key = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    return F.min(key) != F.max(key)
-
-
 def two_level(rows: DataFrame, keys: Sequence[str], *, value: str = "value", unit: str = "islet_id", inner: str = "dish_id", same: Sequence[Sequence[str]] = (("unit",), ("method",), ("dataset_version", "pipeline_version"))) -> DataFrame:
     """(keys..., status, mean_value, median_value, n_rows, n_units, n_inner) by group.
 
@@ -37,7 +31,6 @@ def two_level(rows: DataFrame, keys: Sequence[str], *, value: str = "value", uni
         F.median(F.when(finite(F.col(value)), F.col(value))).alias("_median"),
         F.count("*").alias("_rows"),
         F.bool_or(~finite(F.col(value)) | blank).alias("_bad"),
-        F.collect_set(F.when(F.trim(F.col(inner)) != "", F.col(inner))).alias("_inner"),
         *guards,
     )
     mixed = F.lit(False)
@@ -46,10 +39,12 @@ def two_level(rows: DataFrame, keys: Sequence[str], *, value: str = "value", uni
     groups = units.groupBy(*keys).agg(
         F.when(mixed, "incompatible_measurements").when(F.bool_or("_bad"), "invalid_measurement").otherwise("ok").alias("status"),
         F.avg("_median").alias("_mean"), F.median("_median").alias("_mid"), F.sum("_rows").alias("n_rows"),
-        F.count(F.when(F.trim(F.col(unit)) != "", 1)).alias("n_units"), F.size(F.array_distinct(F.flatten(F.collect_set("_inner")))).cast("long").alias("n_inner"),
+        F.count(F.when(F.trim(F.col(unit)) != "", 1)).alias("n_units"),
     )
+    inners = rows.where(F.trim(F.col(inner)) != "").groupBy(*keys).agg(F.count_distinct(inner).alias("_inner")).toDF(*(f"_k{i}" for i in range(len(keys))), "_inner")
+    joined = groups.join(inners, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left").withColumn("n_inner", F.coalesce("_inner", F.lit(0).cast("long")))
     ok = F.col("status") == "ok"
-    return groups.select(*keys, "status", F.when(ok, F.col("_mean")).alias("mean_value"), F.when(ok, F.col("_mid")).alias("median_value"), "n_rows", "n_units", "n_inner")
+    return joined.select(*keys, "status", F.when(ok, F.col("_mean")).alias("mean_value"), F.when(ok, F.col("_mid")).alias("median_value"), "n_rows", "n_units", "n_inner")
 
 
 def answer_requests(requests: DataFrame, metrics: DataFrame, keys: Sequence[str], aggregation: str = "aggregation") -> DataFrame:

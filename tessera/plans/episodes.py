@@ -143,7 +143,7 @@ ORACLES = {
     "proj7_proj11_actor_view": f"SELECT id, question, actor_observation.scope AS scope, CASE WHEN setup_action IS NOT NULL THEN 'repair' WHEN task_kind = 'finite_metric' THEN 'numeric' ELSE 'text' END AS kind FROM {_T1}",
     "proj12_untimed": "SELECT DISTINCT ON (assessment_id) assessment_id, fulltext.status AS status, fulltext.sha256 AS sha256 FROM review_pool_assessment",
     "a31_selection_coverage": f"SELECT * FROM (SELECT count(*) AS pairs, count(*) FILTER (a) AS complete_pairs, count(*) FILTER (o AND a IS DISTINCT FROM true) AS partial_pairs FROM (SELECT pair_id, bool_and(split = 'dev') AS a, bool_or(split = 'dev') AS o FROM {_T1} WHERE pair_id IS NOT NULL GROUP BY 1)), (SELECT count(*) AS families, count(*) FILTER (o) AS selected_families FROM (SELECT task_kind, bool_or(split = 'dev') AS o FROM {_T1} GROUP BY 1))",
-    "o5_draw_plan": "SELECT item_id, CAST(place AS INTEGER) AS place, CAST(repeat AS INTEGER) AS repeat, CAST(7 + place * 10000 + repeat * 100 AS BIGINT) AS seed FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS place, unnest(range(4)) AS repeat FROM eval_items)",
+    "o5_draw_plan": "SELECT item_id, CAST(place AS BIGINT) AS place, CAST(repeat AS INTEGER) AS repeat, CAST(7 + place * 10000 + repeat * 100 AS BIGINT) AS seed FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS place, unnest(range(4)) AS repeat FROM eval_items)",
     "a29_thresholds": "SELECT c AS \"check\", n, hits, threshold, CASE WHEN n < least_ THEN 'BLOCK' WHEN hits / n >= threshold THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT 'bound' AS c, count(*) AS n, count(task_id) AS hits, 0.9::DOUBLE AS threshold, 10 AS least_ FROM (SELECT DISTINCT ON (id) * FROM planner_sft) UNION ALL SELECT 'short', count(*) FILTER (route = 'search_read'), count(*) FILTER (route = 'search_read' AND input_char_count < 400), 0.5, 10 FROM (SELECT DISTINCT ON (id) * FROM planner_sft) UNION ALL SELECT 'expert', count(*) FILTER (expert_trajectory), count(*) FILTER (expert_trajectory), 0.9, 1000000000 FROM (SELECT DISTINCT ON (id) * FROM planner_sft))",
     "stream_event_windows": "SELECT strftime(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M') AS \"begin\", event_type, count(*) AS events, max(value) AS most FROM events GROUP BY 1, 2",
 }
