@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns that results must agree on.
 #: Credentials, as a key name with a value or a token of a known form.
 SECRET = r"(?i)sk-[A-Za-z0-9_-]{16,}|Bearer\s+[A-Za-z0-9._-]{16,}|(?:api[_ -]?key|access[_ -]?token|password)\s*[:=]\s*\S+"
 #: Absolute paths of a machine.

@@ -11,6 +11,7 @@ from tessera.functions.numbering import numbered
 from tessera.functions.numeric import ratio, wilson
 from tessera.functions.staging import sized
 
+# The labels of evidence support, the first of them support and the second none.
 SUPPORT_LABELS = ("supported", "insufficient", "contradicted", "mixed")
 
 

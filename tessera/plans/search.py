@@ -9,6 +9,8 @@ from tessera.functions import text as tx
 from tessera.operators import views
 from tessera.session import table
 
+# Signs that a search text repeats in words.
+ALIASES = {"β": " beta ", "Ca²⁺": " Ca2+ calcium ", "Δψm": " membrane potential delta psi "}
 QUERY = "cristae remodelling in the matrix"
 
 
@@ -90,7 +92,7 @@ def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alias_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pilot_5_questions").dropDuplicates(["question_id"])
     text = tx.leaf_text(F.col("question"), F.col("scope"), F.col("prohibited_inferences"), F.col("known_conflicts"))
-    full = F.lower(tx.with_aliases(text, {"β": " beta ", "Ca²⁺": " Ca2+ calcium ", "Δψm": " membrane potential delta psi "}))
+    full = F.lower(tx.with_aliases(text, ALIASES))
     return rows.select("question_id", F.length(full).alias("length"), F.contains(full, F.lit("beta")).alias("has_beta"))
 
 
