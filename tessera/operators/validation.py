@@ -6,8 +6,9 @@ with what is wrong; ``enforce`` raises if any is there.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +85,47 @@ def matching(rows: DataFrame, id: str, text: Column, pattern: str) -> DataFrame:
     return rows.where(F.coalesce(text.rlike(pattern), F.lit(False))).select(id)
 
 
+def anchors_held(rows: DataFrame, id: str, text: str, anchors: DataFrame, anchor_id: str, anchor: str, block: int = 100_000) -> DataFrame:
+    """(id, anchor_id): rows whose text holds an anchor, letter case aside.
+
+    The anchors are sought all at once by an automaton; more than ``block`` of
+    them are sought in blocks of about so many, one pass over the rows each.
+    Null texts and null or empty anchors hold nothing.
+    """
+    wanted = anchors.where(F.length(anchor) > 0).select(F.col(anchor_id).alias("_id"), F.lower(anchor).alias("_anchor")).distinct()
+    blocks = max(1, -(-wanted.count() // block))
+    kinds = f"{id} {dict(rows.dtypes)[id]}, {anchor_id} {dict(anchors.dtypes)[anchor_id]}"
+    low = rows.where(F.col(text).isNotNull()).select(F.col(id), F.lower(text).alias("_text"))
+    out: DataFrame | None = None
+    for k in range(blocks):
+        mine = [tuple(r) for r in wanted.where(F.pmod(F.xxhash64("_anchor"), F.lit(blocks)) == k).collect()]  # about a block
+        hits = low.mapInArrow(_automaton(mine, id, anchor_id), kinds)
+        out = hits if out is None else out.union(hits)
+    return out.distinct()
+
+
+def _automaton(anchors: list[tuple], id: str, anchor_id: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine, owners = ahocorasick.Automaton(), {}
+        for owner, anchor in anchors:
+            owners.setdefault(anchor, []).append(owner)
+        for anchor in owners:
+            machine.add_word(anchor, anchor)
+        if owners:
+            machine.make_automaton()
+        for batch in batches:
+            at, found = [], []
+            for k, text in enumerate(batch.column("_text").to_pylist()):
+                for anchor in {a for _, a in machine.iter(text)} if owners else ():
+                    at += [k] * len(owners[anchor])
+                    found += owners[anchor]
+            yield pa.RecordBatch.from_arrays([batch.column(id).take(pa.array(at, pa.int64())), pa.array(found, pa.string() if not found or isinstance(found[0], str) else None)], names=[id, anchor_id])
+
+    return run
+
+
 def first_failure(rules: Mapping[str, Column]) -> Column:
     """The name of the first rule that does not hold; null if all hold.  A null test does not hold."""
     out = F.lit(None).cast("string")

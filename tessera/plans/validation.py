@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import ABSOLUTE_PATH, OVERCLAIM, SECRET, holds
+from tessera.functions.text import ABSOLUTE_PATH, OVERCLAIM, SECRET
 from tessera.operators import validation as v
 from tessera.session import table
 
@@ -68,7 +68,7 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out items whose question's head stands in a document: the view must not hold it."""
     items = table(spark, sf_dir, "eval_items").select("item_id", F.substring("question", 1, 60).alias("anchor")).where(F.length("anchor") == 60)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(items), holds(F.col("text"), F.col("anchor"))).select("doc_id", "item_id")
+    return v.anchors_held(docs, "doc_id", "text", items, "item_id", "anchor")
 
 
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

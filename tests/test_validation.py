@@ -62,3 +62,12 @@ def test_first_failure_in_order(spark):
     df = table(spark, [(1, 1), (0, 0), (1, None)], "a int, b int")
     rules = {"first": F.col("a") == 1, "second": F.col("b") == 1}
     assert [r[0] for r in df.select(v.first_failure(rules)).collect()] == [None, "first", "second"]
+
+
+@pytest.mark.parametrize("block", [1, 100])
+def test_anchors(spark, block):
+    docs = table(spark, [(1, "All of THIS and that"), (2, None), (3, ""), (4, "this")], "doc int, text string")
+    anchors = table(spark, [("a", "this and"), ("b", "This"), ("c", "this"), ("d", None), ("e", ""), ("f", "none")], "anchor string, words string")
+    got = {tuple(r) for r in v.anchors_held(docs, "doc", "text", anchors, "anchor", "words", block).collect()}
+    assert got == {(1, "a"), (1, "b"), (1, "c"), (4, "b"), (4, "c")}
+    assert v.anchors_held(docs, "doc", "text", anchors.limit(0), "anchor", "words").count() == 0
