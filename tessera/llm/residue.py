@@ -12,11 +12,12 @@ held out of the fit and the model is judged on those.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +86,30 @@ NOTICES = re.compile(
     re.VERBOSE | re.IGNORECASE,
 )
 
+#: One of these is in every filler, error and notice that the patterns know, so that most segments need no pattern.
+TRIGGERS = (
+    "lorem dolor consectetur adipiscing exercitation ullamco eiusmod aliquip incididunt nostrud blindtext relleno dummy placeholder asdf qwer xxx here".split()
+    + ["sample text", "hier steht", "aquí irá", "click to add", "body text", "占位", "示例", "待补", "待填", "待定"]
+    + ["not found", "occurred", "went wrong", "oops", "access denied", "could not be loaded", "find the page", "permission to", "session has", "too many requests", "offline", "unavailable", "is down", "temporarily down"]
+    + ["error:", "traceback", "robot", "your browser", "human", "nicht gefunden", "verweigert", "se pudo", "no encontrada", "denegado", "页面不存在", "服务器", "权限", "系统繁忙", "登录", "错误码", "失败"]
+    + ["script", "need to enable", "脚本", "enable js", "activate js", "turn on js", "switch on js", "allow js", "require js", "requires js", "need js", "needs js"]
+)
+_SLOT_SIGN = re.compile(r"[{<\[【%_]|XXXX")
+#: A response status is a short line.
+STATUS_CHARS = 90
+
+
+@lru_cache(maxsize=1)
+def _triggers():
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for word in TRIGGERS:
+        machine.add_word(word, word)
+    machine.make_automaton()
+    return machine
+
+
 #: Words and signs of which a segment without residue may have some; with one of them it is a near case.
 _NEAR = re.compile(r"[{}<>\[\]【】$%_`]|\b(?:error|not found|denied|unavailable|http|script|scripts|javascript|placeholder|sample|permission|session|server)\b|脚本|错误|失败|占位|填", re.IGNORECASE)
 
@@ -96,14 +121,16 @@ def segments(text: str) -> list[str]:
 
 def residue(segment: str) -> str | None:
     """slot, filler, error or notice, if the segment is such; the exact check."""
-    bare = _QUOTED.sub(" ", segment)
-    if SLOTS.search(bare):
+    bare = _QUOTED.sub(" ", segment) if "`" in segment or "$" in segment else segment
+    if _SLOT_SIGN.search(bare) and SLOTS.search(bare):
         return "slot"
-    if FILLER.search(bare):
+    short = len(bare) <= STATUS_CHARS
+    worded = next(_triggers().iter(re.sub(r"\s+", " ", bare.lower())), None) is not None
+    if worded and FILLER.search(bare):
         return "filler"
-    if STATUS.search(bare) or ERRORS.search(bare):
+    if short and STATUS.search(bare) or worded and ERRORS.search(bare):
         return "error"
-    return "notice" if NOTICES.search(bare) else None
+    return "notice" if worded and NOTICES.search(bare) else None
 
 
 # ---- the model ----
@@ -217,9 +244,10 @@ def _labelled(limit: dict[str, int]):
                 data = s.encode("utf-8", "surrogatepass")
                 h = zlib.crc32(data) << 31 | zlib.adler32(data) >> 1
                 # plain segments abound: an eighth of them, chosen by hash, has the least hashes of them all
-                if h >> 60 and not _NEAR.search(s) and not (FILLER.search(s) or ERRORS.search(s) or STATUS.search(s) or NOTICES.search(s) or SLOTS.search(s)):
+                label = weak_label(s)
+                if label == "plain" and h >> 60:
                     continue
-                kept[weak_label(s)].setdefault(h, (s, int(t), int(p), hosts[i], h))
+                kept[label].setdefault(h, (s, int(t), int(p), hosts[i], h))
             for k, rows in kept.items():
                 if len(rows) > 4 * limit[k]:
                     kept[k] = dict(sorted(rows.items())[: limit[k]])
