@@ -145,7 +145,7 @@ def record_contract(split: Column) -> dict[str, Column]:
         "prompt_roles": F.transform("prompt", lambda m: m["role"]) == F.array(F.lit("system"), F.lit("user")),
         "completion_role": (F.size("completion") == 1) & (F.get("completion", F.lit(0))["role"] == "assistant"),
         "content": said(F.col("prompt")) & said(F.col("completion")),
-        "json": F.try_parse_json(F.get("completion", F.lit(0))["content"]).isNotNull(),
+        "json": strict_json(F.get("completion", F.lit(0))["content"]).isNotNull(),
         "label": F.get_json_object(F.get("completion", F.lit(0))["content"], "$.labels.evidence_support").isin("supported", "insufficient", "contradicted", "mixed"),
     }
 

@@ -29,7 +29,7 @@ def task_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that each measurement request may use."""
     q = F.col("actor_observation.measurement_request")
     asked = _tasks(spark, sf_dir).where(q.isNotNull()).select("id", *(q[c].alias(c) for c in GROUP))
-    return asked.join(measured(spark, sf_dir).select(*GROUP, "row_id", "islet_id"), list(GROUP)).groupBy("id").agg(F.count("*").alias("rows"), F.count_distinct("islet_id").alias("islets"))
+    return asked.join(measured(spark, sf_dir, *GROUP, "islet_id"), list(GROUP)).groupBy("id").agg(F.count("*").alias("rows"), F.count_distinct("islet_id").alias("islets"))
 
 
 def pair_sides(spark: SparkSession, sf_dir: str) -> DataFrame:

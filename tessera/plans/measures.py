@@ -13,13 +13,20 @@ from tessera.session import table
 GROUP = ("experiment_id", "metric", "wavelength_nm")
 
 
-def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The measurements, copies of a row once."""
-    return table(spark, sf_dir, "measurements").drop("ingested_at").dropDuplicates(["row_id"])
+_USED = (*GROUP, "islet_id", "dish_id", "value", "unit", "method", "dataset_version", "pipeline_version")
+
+
+def measured(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The measurements by row_id and the columns given (those of the metrics if none are), copies of a row once.
+
+    Copies are equal but for when they came, so a distinct over the columns read
+    is enough, and is hashed where first values by row_id would be sorted.
+    """
+    return table(spark, sf_dir, "measurements").select("row_id", *(columns or _USED)).distinct()
 
 
 def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) for n in names})
+    return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})  # -0.0 is 0.0
 
 
 def metric_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +55,7 @@ def measurement_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.valid_rows(measured(spark, sf_dir)).groupBy("experiment_id").agg(F.count("*").alias("rows"), F.count_distinct("islet_id").alias("islets"), F.min(F.col("value") + F.lit(0.0)).alias("low"), F.max(F.col("value") + F.lit(0.0)).alias("high"))
+    return metrics.valid_rows(measured(spark, sf_dir, "experiment_id", "islet_id", "value", "wavelength_nm")).groupBy("experiment_id").agg(F.count("*").alias("rows"), F.count_distinct("islet_id").alias("islets"), F.min(F.col("value") + F.lit(0.0)).alias("low"), F.max(F.col("value") + F.lit(0.0)).alias("high"))
 
 
 def pushed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +79,7 @@ u AS (SELECT {keys}, {unit} AS u, median(CASE WHEN isfinite(value) THEN value EN
 g AS (SELECT {keys}, count(*) AS n_rows, count(DISTINCT CASE WHEN trim({unit}) <> '' THEN {unit} END) AS n_units, count(DISTINCT CASE WHEN trim({inner}) <> '' THEN {inner} END) AS n_inner, ({guards}) AS mixed FROM r GROUP BY ALL),
 a AS (SELECT {keys}, avg(m) AS mean_value, median(m) AS median_value, bool_or(bad) AS bad FROM u GROUP BY ALL),
 s AS (SELECT g.*, a.mean_value AS mv, a.median_value AS dv, CASE WHEN mixed THEN 'incompatible_measurements' WHEN bad THEN 'invalid_measurement' ELSE 'ok' END AS status FROM g JOIN a ON {' AND '.join(f'g.{k.strip()} IS NOT DISTINCT FROM a.{k.strip()}' for k in keys.split(','))})
-SELECT {keys}, status, CASE WHEN status = 'ok' THEN round(mv, 6) END AS mean_value, CASE WHEN status = 'ok' THEN round(dv, 6) END AS median_value, n_rows, n_units, n_inner FROM s
+SELECT {keys}, status, CASE WHEN status = 'ok' THEN round(mv, 6) + 0.0 END AS mean_value, CASE WHEN status = 'ok' THEN round(dv, 6) + 0.0 END AS median_value, n_rows, n_units, n_inner FROM s
 """
 
 
@@ -185,14 +192,14 @@ FROM t LEFT JOIN m ON m.experiment_id = q.experiment_id AND m.metric = q.metric
     "s6_pushed_scan": "SELECT DISTINCT row_id, experiment_id, value, unit FROM measurements WHERE split = 'dev' AND wavelength_nm = 488 AND metric = 'intensity_mean'",
     "f2_row_hashes": """SELECT DISTINCT id, sha256('{"group_id":' || to_json(group_id) || ',"id":' || to_json(id) || ',"question":' || to_json(question) || ',"split":' || coalesce(CAST(to_json(split) AS VARCHAR), 'null') || '}') AS hash,
 'pair-' || left(sha256('{"pair_id":' || coalesce(CAST(to_json(pair_id) AS VARCHAR), 'null') || ',"side":' || to_json(side) || '}'), 24) AS short_id FROM tasks""",
-    "r1_r2_conditional_utilities": f"SELECT pair, side, i, round(reward, 9) AS reward, round(q, 9) AS q FROM {_Q.format(eta=0.25)}",
-    "r3_paired_advantages": f"SELECT pair, side, i, round(reward, 9) AS reward, round(q, 9) AS q, round(2 * (q - (sum(q) OVER w - q) / (count(*) OVER w - 1)), 9) AS advantage FROM {_Q.format(eta=0.5)} WINDOW w AS (PARTITION BY pair, side)",
-    "r4_joint_utility": f"SELECT a.pair, round(avg(0.5 * (a.reward + b.reward) / 2 + 0.5 * least(a.reward, b.reward)), 9) AS joint_utility, count(*) AS operations, any_value(n) AS draws FROM {_D4} a JOIN {_D4} b ON a.pair = b.pair AND a.side < b.side JOIN (SELECT pair, count(*) AS n FROM {_D4} GROUP BY 1) s ON s.pair = a.pair GROUP BY a.pair",
+    "r1_r2_conditional_utilities": f"SELECT pair, side, i, round(reward, 9) + 0.0 AS reward, round(q, 9) + 0.0 AS q FROM {_Q.format(eta=0.25)}",
+    "r3_paired_advantages": f"SELECT pair, side, i, round(reward, 9) + 0.0 AS reward, round(q, 9) + 0.0 AS q, round(2 * (q - (sum(q) OVER w - q) / (count(*) OVER w - 1)), 9) + 0.0 AS advantage FROM {_Q.format(eta=0.5)} WINDOW w AS (PARTITION BY pair, side)",
+    "r4_joint_utility": f"SELECT a.pair, round(avg(0.5 * (a.reward + b.reward) / 2 + 0.5 * least(a.reward, b.reward)), 9) + 0.0 AS joint_utility, count(*) AS operations, any_value(n) AS draws FROM {_D4} a JOIN {_D4} b ON a.pair = b.pair AND a.side < b.side JOIN (SELECT pair, count(*) AS n FROM {_D4} GROUP BY 1) s ON s.pair = a.pair GROUP BY a.pair",
     "r6_clipped_surrogate": "SELECT event_id, round(least(value / 50 * a, least(greatest(value / 50, 0.8), 1.2) * a), 6) AS surrogate FROM (SELECT event_id, value, CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE -1.0 END AS a FROM events)",
     "r7_token_loss": f"SELECT l_orderkey, round(avg({_LOSS}), 6) AS loss FROM {_TOKENS} WHERE mask = 1 GROUP BY 1",
     "r8_batch_loss": f"SELECT (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS episodes, round(sum(x) / (SELECT count(DISTINCT l_orderkey) FROM lineitem), 6) AS loss FROM (SELECT avg({_LOSS}) AS x FROM {_TOKENS} WHERE mask = 1 GROUP BY l_orderkey)",
-    "w2_leave_one_out": f"SELECT pair, side, i, round(reward, 6) AS reward, round(reward - (sum(reward) OVER w - reward) / nullif(count(*) OVER w - 1, 0), 6) AS advantage FROM {_D4} WINDOW w AS (PARTITION BY pair, side)",
-    "w3_group_z_score": f"SELECT pair, side, i, round(reward, 6) AS reward, round((reward - avg(reward) OVER w) / (stddev_pop(reward) OVER w + 1e-8), 6) AS advantage FROM {_D4} WINDOW w AS (PARTITION BY pair, side)",
+    "w2_leave_one_out": f"SELECT pair, side, i, round(reward, 6) + 0.0 AS reward, round(reward - (sum(reward) OVER w - reward) / nullif(count(*) OVER w - 1, 0), 6) + 0.0 AS advantage FROM {_D4} WINDOW w AS (PARTITION BY pair, side)",
+    "w3_group_z_score": f"SELECT pair, side, i, round(reward, 6) + 0.0 AS reward, round((reward - avg(reward) OVER w) / (stddev_pop(reward) OVER w + 1e-8), 6) + 0.0 AS advantage FROM {_D4} WINDOW w AS (PARTITION BY pair, side)",
     "w4_trailing_mean": "SELECT event_id, event_type, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 24 PRECEDING AND CURRENT ROW), 6) AS trailing_mean FROM events",
     "a33_flat_groups": f"SELECT count(*) FILTER (a = b) AS flat_groups, count(*) AS groups FROM (SELECT min(reward) AS a, max(reward) AS b FROM {_D.format(most=2)} GROUP BY pair, side)",
 }

@@ -19,8 +19,8 @@ def connect(directory: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(value):
-    if isinstance(value, float) and math.isnan(value):
-        return None
+    if isinstance(value, float):
+        return None if math.isnan(value) else value + 0.0
     if isinstance(value, (list, tuple)):
         return tuple(map(plain, value))
     if isinstance(value, dict):
