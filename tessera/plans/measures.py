@@ -87,7 +87,6 @@ _GUARDED = _two_level_sql(f"SELECT * FROM {_M}", "experiment_id, metric, wavelen
 
 # ---- rewards, over draws made of the events ----
 
-_DRAWS = "draws"
 
 
 def draws(spark: SparkSession, sf_dir: str, most: int = 4) -> DataFrame:

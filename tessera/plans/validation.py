@@ -10,7 +10,6 @@ from tessera.operators import validation as v
 from tessera.session import table
 
 SIDES = ("available", "view_without_target")
-_NONE = "array<string>"
 
 
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
