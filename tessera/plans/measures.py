@@ -89,13 +89,12 @@ _GUARDED = _two_level_sql(f"SELECT * FROM {_M}", "experiment_id, metric, wavelen
 
 
 
-def draws(spark: SparkSession, sf_dir: str, most: int = 4) -> DataFrame:
-    """(pair, side, i, reward): the first draws of each user and parity of event."""
+def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pair, side, i, reward): the draws of each user and parity of event, all of them."""
     side = (F.col("event_id") % 2).cast("int")
     place = F.row_number().over(Window.partitionBy("user_id", side).orderBy("event_id"))
     reward = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("value") - 50) / 50))
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("pair"), side.alias("side"), place.alias("i"), reward.alias("reward"))
-    return rows.where(F.col("i") <= most)
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("pair"), side.alias("side"), place.alias("i"), reward.alias("reward"))
 
 
 def paired_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +146,7 @@ def trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rewards.flat_groups(draws(spark, sf_dir, 2), ["pair", "side"], "reward")
+    return rewards.flat_groups(draws(spark, sf_dir), ["pair", "side"], "reward")
 
 
 _D = """(SELECT * FROM (SELECT user_id AS pair, CAST(event_id % 2 AS INTEGER) AS side, CAST(row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id) AS INTEGER) AS i,

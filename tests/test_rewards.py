@@ -58,3 +58,32 @@ def test_token_loss(spark):
     got = df.select(rw.token_loss(F.col("n"), F.col("o"), F.col("r"), F.lit(1.0))).first()[0]
     d = 0.1
     assert got == pytest.approx(-min(math.exp(0.2), 1.2) + 0.04 * (math.expm1(d) - d))
+
+
+def test_queries_over_all_draws_like_brute_force(spark, sf):
+    import statistics
+    from collections import defaultdict
+
+    import pyarrow.parquet as pq
+
+    from tessera.plans import measures
+
+    groups = defaultdict(list)
+    for e in sorted(pq.read_table(f"{sf}/events.parquet").to_pylist(), key=lambda e: e["event_id"]):
+        groups[e["user_id"], e["event_id"] % 2].append(max(-1.0, min(1.0, (e["value"] - 50) / 50)))
+    assert max(map(len, groups.values())) > 4
+    mean = lambda x: sum(x) / len(x)
+    utility = lambda a, b, eta: (1 - eta) * (a + b) / 2 + eta * min(a, b)
+    q = lambda eta: {(p, s, i): mean([utility(x, y, eta) for y in groups[p, 1 - s]]) for (p, s), g in list(groups.items()) if (p, 1 - s) in groups for i, x in enumerate(g, 1)}
+    others = lambda values, k: values[k] - (sum(values) - values[k]) / (len(values) - 1) if len(values) > 1 else None
+    at = lambda query, column: {(r["pair"], r["side"], r["i"]): r[column] for r in query(spark, sf).collect()}
+
+    assert at(measures.utilities, "q") == pytest.approx(q(0.25), abs=1e-8)
+    half = q(0.5)
+    per = {(p, s): [half[p, s, i] for i in range(1, len(g) + 1)] for (p, s), g in groups.items() if (p, s, 1) in half}
+    assert at(measures.paired_rewards, "advantage") == pytest.approx({(p, s, i + 1): (x := others(g, i)) and 2 * x for (p, s), g in per.items() for i in range(len(g))}, abs=1e-8)
+    both = {p: [utility(x, y, 0.5) for x in groups[p, 0] for y in groups[p, 1]] for p, s in list(groups) if s == 0 and (p, 1) in groups}
+    assert {r["pair"]: (r["joint_utility"], r["operations"], r["draws"]) for r in measures.joint_rewards(spark, sf).collect()} == {p: (pytest.approx(mean(u), abs=1e-8), len(u), len(groups[p, 0]) + len(groups[p, 1])) for p, u in both.items()}
+    assert at(measures.loo_rewards, "advantage") == pytest.approx({(p, s, i + 1): others(g, i) for (p, s), g in groups.items() for i in range(len(g))}, abs=2e-6)
+    assert at(measures.group_rewards, "advantage") == pytest.approx({(p, s, i + 1): (x - mean(g)) / (statistics.pstdev(g) + 1e-8) for (p, s), g in groups.items() for i, x in enumerate(g)}, abs=2e-6)
+    assert measures.flat(spark, sf).first().asDict() == {"flat_groups": sum(min(g) == max(g) for g in groups.values()), "groups": len(groups)}
