@@ -126,13 +126,19 @@ def length_report(rows: DataFrame, length: str, by: Sequence[str] = ()) -> DataF
     return sums.groupBy(*by).agg(F.max("_n").alias("records"), F.sum(F.col(length) * F.col("_c")).alias("total"), F.min(length).alias("shortest"), at(F.floor(F.col("_n") / 2) + 1).alias("median"), at(F.ceil(F.col("_n") * 0.95)).alias("p95"), F.max(length).alias("longest"))
 
 
+def _drawn(clusters: DataFrame, n: int, samples: int, seed: int) -> DataFrame:
+    """The rows of ``clusters`` (numbered by k) as drawn with replacement, n for each sample."""
+    slots = clusters.sparkSession.range(samples * n).select((F.col("id") / n).cast("long").alias("sample"), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n)).alias("k"))
+    return slots.join(sized(clusters, n), "k")
+
+
 def group_bootstrap(rows: DataFrame, cluster: str, value: str, samples: int = 2000, seed: int = 20260909) -> DataFrame:
     """(clusters, point, low, high): percentile interval of a pooled mean, whole clusters drawn with replacement.
 
     Clusters are summed first; a draw is a hash of (seed, sample, slot), so the
     interval is the same on every run and machine.  Bounds are null for fewer
-    than two clusters.  Every sample is one row of sums, made from the cluster
-    sums by how often each was drawn.
+    than two clusters.  Every sample is one row of sums, made from the sums of
+    the clusters drawn.
     """
     sums = rows.groupBy(cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(value).alias("c"))
     clusters = numbered(sums, F.col(cluster), name="k")
@@ -140,14 +146,38 @@ def group_bootstrap(rows: DataFrame, cluster: str, value: str, samples: int = 20
     point = sums.agg(ratio(F.sum("s"), F.sum("c")).alias("point"))
     if n < 2:
         return point.select(F.lit(n).cast("long").alias("clusters"), "point", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
-    slots = rows.sparkSession.range(samples * n).select((F.col("id") / n).cast("long").alias("sample"), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n)).alias("k"))
-    drawn = slots.groupBy("sample", "k").agg(F.count("*").alias("times"))
-    means = drawn.join(sized(clusters, n), "k").groupBy("sample").agg(ratio(F.sum(F.col("times") * F.col("s")), F.sum(F.col("times") * F.col("c"))).alias("m"))
+    means = _drawn(clusters, n, samples, seed).groupBy("sample").agg(ratio(F.sum("s"), F.sum("c")).alias("m"))
     ordered = means.agg(F.sort_array(F.collect_list("m")).alias("ms"))  # of length samples
     low, high = int(samples * 0.025) - 1, int(samples * 0.975) - 1
     return ordered.crossJoin(F.broadcast(point)).select(F.lit(n).cast("long").alias("clusters"), "point", F.col("ms")[low].alias("low"), F.col("ms")[high].alias("high"))
 
 
+def macro_f1_bootstrap(rows: DataFrame, cluster: str, truth: str, a: str, b: str, samples: int = 2000, seed: int = 20260908, labels: Sequence[str] = SUPPORT_LABELS) -> DataFrame:
+    """(clusters, point, low, high): percentile interval of the macro F1 of ``b`` less that of ``a``.
+
+    Whole clusters are drawn as in ``group_bootstrap``; macro F1 runs over the
+    labels that a sample's truths have.  Rows without a cluster or of another
+    truth take no part.  Bounds are null for fewer than two clusters.
+    """
+    counts = {}
+    for k, label in enumerate(labels):
+        true = F.col(truth) == label
+        counts |= {f"n{k}": true} | {f"{x}{k}_{what}": test for x, p in (("a", a), ("b", b)) for what, test in (("tp", true & (F.col(p) == label)), ("said", F.col(p) == label))}
+    rows = rows.where(F.col(cluster).isNotNull() & F.col(truth).isin(*labels))
+    clusters = numbered(rows.groupBy(cluster).agg(*(F.count_if(test).alias(name) for name, test in counts.items())), F.col(cluster), name="k")
+    n = clusters.count()
+    seen = sum((F.col(f"n{k}") > 0).cast("int") for k in range(len(labels)))
+    f1 = lambda x: sum(F.when(F.col(f"n{k}") > 0, 2 * F.col(f"{x}{k}_tp") / (F.col(f"n{k}") + F.col(f"{x}{k}_said"))).otherwise(0.0) for k in range(len(labels)))
+    change = ratio(f1("b") - f1("a"), seen)
+    total = [F.sum(name).alias(name) for name in counts]
+    point = clusters.agg(*total).select(change.alias("point"))
+    if n < 2:
+        return point.select(F.lit(n).cast("long").alias("clusters"), "point", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    ordered = _drawn(clusters, n, samples, seed).groupBy("sample").agg(*total).agg(F.sort_array(F.collect_list(change)).alias("ms"))  # of length samples
+    low, high = int((samples - 1) * 0.025), int((samples - 1) * 0.975)
+    return ordered.crossJoin(F.broadcast(point)).select(F.lit(n).cast("long").alias("clusters"), "point", F.col("ms")[low].alias("low"), F.col("ms")[high].alias("high"))
+
+
 def changed_after_feedback(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """``pairs`` with ``changed``: equal actions up to the first different observation, and different ones after it.
 

@@ -115,7 +115,11 @@ def valid_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(ev.group_bootstrap(episodes(spark, sf_dir), "task_id", "success", 200), "point", "low", "high")
+    return _r(ev.group_bootstrap(episodes(spark, sf_dir), "task_id", "success"), "point", "low", "high")
+
+
+def f1_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(ev.macro_f1_bootstrap(judged(spark, sf_dir), "task_id", "truth", "base", "tuned"), "point", "low", "high")
 
 
 def multipath(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +156,7 @@ JOIN (SELECT {keys} round(avg(CASE WHEN support > 0 THEN {_F1} END), 9) AS macro
 QUERIES = {
     "a4_success_summary": summary, "a5_success_by_subgroup": subgroups, "a6_paired_both": both, "a7_over_draws": draws, "a7_crossed_pairs": crossed, "a8_cost_totals": costs,
     "a9_confusion": confusion, "a10_class_scores": classes, "a11_overall_scores": overall, "a12_field_scores": fields, "a13_scores_by_version": overall_by_version,
-    "a14_valid_rates": valid_rates, "a15_majority_label": majority, "a17_a18_group_bootstrap": bootstrap, "a20_length_report": lengths, "a30_multipath_tasks": multipath, "j5_paired_predictions": paired_predictions,
+    "a14_valid_rates": valid_rates, "a15_majority_label": majority, "a17_a18_group_bootstrap": bootstrap, "a18_macro_f1_bootstrap": f1_bootstrap, "a20_length_report": lengths, "a30_multipath_tasks": multipath, "j5_paired_predictions": paired_predictions,
 }
 ORACLES = {
     "a4_success_summary": _SUMMARY.format(by="", rows=_E, group=""),

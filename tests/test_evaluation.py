@@ -74,3 +74,40 @@ def test_fields(spark):
 def test_close(spark):
     df = spark.createDataFrame([(1.0, 1.0 + 1e-10), (1.0, 1.1), (0.0, 1e-10), (1e12, 1e12 + 1)], "a double, b double")
     assert [r[0] for r in df.select(close(F.col("a"), F.col("b"))).collect()] == [True, False, True, True]
+
+
+def test_macro_f1_bootstrap_like_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    labels = ev.SUPPORT_LABELS
+    rows = [(f"t{rng.randrange(12):02d}", rng.choice(labels[:3]), rng.choice((*labels, "invalid")), rng.choice((*labels, "invalid"))) for _ in range(80)]
+    rows += [(t, y, a, y if rng.random() < 0.5 else b) for t, y, a, b in rows]
+    df = spark.createDataFrame([*rows, (None, "mixed", "mixed", "mixed")], "task string, truth string, a string, b string")
+
+    def macro(chosen, p):
+        f1 = []
+        for label in {r[1] for r in chosen}:
+            tp, fp, fn = (sum(test(r[1] == label, r[p] == label) for r in chosen) for test in (lambda y, z: y and z, lambda y, z: z and not y, lambda y, z: y and not z))
+            f1.append(2 * tp / (2 * tp + fp + fn))
+        return sum(f1) / len(f1)
+
+    keys, samples = sorted({r[0] for r in rows}), 200
+    slots = [r[0] for r in spark.sql(f"SELECT pmod(xxhash64(20260908, id), {len(keys)}) FROM range({samples * len(keys)}) ORDER BY id").collect()]
+    values = []
+    for k in range(samples):
+        chosen = [r for x in slots[k * len(keys) : (k + 1) * len(keys)] for r in rows if r[0] == keys[x]]
+        values.append(macro(chosen, 3) - macro(chosen, 2))
+    values.sort()
+    got = ev.macro_f1_bootstrap(df, "task", "truth", "a", "b", samples).first()
+    assert got["clusters"] == len(keys)
+    assert (got["point"], got["low"], got["high"]) == pytest.approx((macro(rows, 3) - macro(rows, 2), values[int(199 * 0.025)], values[int(199 * 0.975)]))
+    assert ev.macro_f1_bootstrap(df.where("task = 't01'"), "task", "truth", "a", "b").first()["low"] is None
+
+
+def test_bootstrap_query_draws_as_often_as_the_reference(spark, sf):
+    from tessera.plans import evaluation as plans
+
+    full = ev.group_bootstrap(plans.episodes(spark, sf), "task_id", "success", 2000).first()
+    assert plans.bootstrap(spark, sf).first() == pytest.approx(tuple(full), abs=1e-9)
+    assert tuple(full) != tuple(ev.group_bootstrap(plans.episodes(spark, sf), "task_id", "success", 200).first())
