@@ -71,3 +71,13 @@ def test_anchors(spark, block):
     got = {tuple(r) for r in v.anchors_held(docs, "doc", "text", anchors, "anchor", "words", block).collect()}
     assert got == {(1, "a"), (1, "b"), (1, "c"), (4, "b"), (4, "c")}
     assert v.anchors_held(docs, "doc", "text", anchors.limit(0), "anchor", "words").count() == 0
+
+
+def test_anchors_query_seeks_whole_questions(spark, tmp_path):
+    from tessera.plans.validation import anchors
+
+    head = "what is the mean oxygen consumption of islets in hyperoxic media"
+    assert len(head) > 60
+    spark.createDataFrame([("long", head + " after 4 h?"), ("short", "Why so?"), ("empty", ""), ("none", None)], "item_id string, question string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    spark.createDataFrame([(1, head + " after 9 h?"), (2, "so: " + head.upper() + " after 4 h? yes"), (3, "He asked: why so?"), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in anchors(spark, str(tmp_path)).select("doc_id", "item_id").collect()} == {(2, "long"), (3, "short")}
