@@ -108,6 +108,22 @@ def wording(text: str) -> tuple[str | None, bool]:
     return body, False
 
 
+def _readable(body: str) -> str:
+    """The wording that can be read from an answer whose JSON or fence breaks off; empty if none can."""
+    if body[:1] not in ("{", "[", '"'):
+        return body
+    said, broken = wording(body)
+    if not broken:
+        return said or ""
+    for name in WORDING:
+        if found := re.search(rf'"{name}"\s*:\s*"((?:[^"\\]|\\.)*)', body, re.DOTALL):
+            try:
+                return json.loads('"' + re.sub(r"\\u[0-9a-fA-F]{0,3}$", "", found[1]) + '"', strict=False)
+            except ValueError:
+                return found[1]
+    return ""
+
+
 def _covered(part: list[str], whole: list[str], least: int = 3) -> int:
     """How many tokens of ``part`` lie in runs of ``least`` or more that ``whole`` has too."""
     places: dict[tuple[str, ...], list[int]] = {}
@@ -134,10 +150,12 @@ def defects(prompt: str | None, answer: str | None) -> list[str]:
     if not broken and (not bare or bare in FILLERS):
         return ["empty_answer"]
     if broken:
-        return ["truncated_answer"]
+        said = _readable(said)
+        if re.sub(r"[\W_]+", "", said).lower() in FILLERS | {""}:
+            return ["truncated_answer"]
     said = said.strip()
     out = []
-    if not _END.search(said) or any(said.count(o) > said.count(c) for o, c in _OPEN.items()):
+    if broken or not _END.search(said) or any(said.count(o) > said.count(c) for o, c in _OPEN.items()):
         out.append("truncated_answer")
     own = _SAID.sub(" ", said)
     if REFUSALS.search(own):

@@ -62,3 +62,14 @@ def test_table(spark):
     got = {r["id"]: list(r["defects"]) for r in broken_pairs(df, "id", F.col("prompt"), F.col("answer")).collect()}
     assert got == {"b": ["empty_answer"], "c": ["truncated_answer"]}
     assert broken_pairs(df.limit(0), "id", F.col("prompt"), F.col("answer")).count() == 0
+
+
+def test_broken_answers_keep_their_other_defects():
+    asked = "Does the evidence support the claim that insulin secretion was reduced in these islets?"
+    broken = lambda said: '{"labels": {"evidence_support": "mixed"}, "rationale": "' + said
+    assert defects(asked, broken("I cannot help with this request.")) == ["truncated_answer", "refusal"]
+    assert defects(asked, "```json\n" + broken('I cannot help with this request."}')) == ["truncated_answer", "refusal"]
+    assert defects(asked, "```\nI cannot help with this request.") == ["truncated_answer", "refusal"]
+    assert defects(asked, broken("Does the evidence support the claim that insulin secretion was reduced")) == ["truncated_answer", "copied_question"]
+    assert defects(asked, broken("Der Befund wurde nicht mit der Messung verglichen und ist daher unklar \\u00")) == ["truncated_answer", "other_language"]
+    assert defects(asked, '{"labels": {"evidence_support": "mi') == defects(asked, broken("")) == ["truncated_answer"]
