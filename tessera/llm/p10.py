@@ -11,8 +11,7 @@ from tessera.session import table
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with residue, its kinds and its share of the text."""
-    docs = table(spark, sf_dir, "documents")
-    return residue_documents(docs, train(docs))
+    return residue_documents(table(spark, sf_dir, "documents"))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -327,31 +327,28 @@ def _draw(drawn: DataFrame, sample: dict[str, int], groups: int = 8) -> list:
     return out
 
 
-def residue_documents(documents: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", title: str = "title") -> DataFrame:
-    """(doc_id, kinds, segments, share): documents of which the model takes a segment that the exact check upholds.
+def residue_documents(documents: DataFrame, model: Model | None = None, *, doc_id: str = "doc_id", text: str = "text", title: str = "title") -> DataFrame:
+    """(doc_id, kinds, segments, share): documents with a segment that the exact check finds.
 
     kinds are the kinds found, share the part of the document's characters in
-    such segments.  A null text has none; rows of a null id are left out.  Texts
+    such segments.  Every segment is checked; ``model`` is taken for older callers
+    and decides nothing.  A null text has none; rows of a null id are left out.  Texts
     are scored whole.  Other columns are not touched.
     """
-    spark = documents.sparkSession
-    known = spark.sparkContext.broadcast((model.weights, model.least))
     of_type = dict(documents.dtypes)[doc_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, least = known.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
             titled = [bool(x and x.strip()) for x in batch.column("title").to_pylist()]
             for a, b in slices(texts, 400_000):
-                parts, of, titles, places = _laid_out(texts[a:b], titled[a:b])
+                parts, of, _, _ = _laid_out(texts[a:b], titled[a:b])
                 if not parts:
                     continue
-                taken = np.flatnonzero(_margins(weights, *_features(parts, titles, places)) >= least)
                 found: dict[int, list[tuple[str, int]]] = {}
-                for k in taken:
-                    if kind := residue(parts[k]):
-                        found.setdefault(int(of[k]), []).append((kind, len(parts[k])))
+                for part, i in zip(parts, of.tolist()):
+                    if kind := residue(part):
+                        found.setdefault(i, []).append((kind, len(part)))
                 total = np.bincount(of, weights=[len(p) for p in parts], minlength=b - a)
                 at = sorted(found)
                 yield pa.RecordBatch.from_pydict({

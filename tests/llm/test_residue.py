@@ -64,3 +64,12 @@ def test_nulls_long_and_empty(spark):
     odd = spark.createDataFrame([(1, None, "h", None), (2, "", "h", None), (3, REAL[0] * 20_000 + " {{gene}}", "h", None), (3, REAL[0] * 20_000 + " {{gene}}", "h", None), (None, "{{x}}", None, None)], "doc_id long, text string, source string, title string")
     assert [r["doc_id"] for r in residue_documents(odd, model).collect()] == [3]
     assert residue_documents(df.limit(0), train(df.limit(0))).count() == 0
+
+
+def test_slot_in_a_long_line_without_sentence_ends(spark):
+    _, df = documents(spark)
+    model = train(df)
+    line = REAL[0].rstrip(".").replace(". ", ", ") + ", "
+    rows = [(n, line * n + "and {{gene}} then " + line * n, "h", None) for n in (3, 40, 4000)] + [(5, line * 40, "h", None)]
+    got = residue_documents(spark.createDataFrame(rows, "doc_id long, text string, source string, title string"), model).collect()
+    assert {r["doc_id"] for r in got} == {3, 40, 4000}
