@@ -3,10 +3,11 @@
 A document is cut into segments (lines and sentences).  Weak labels come from
 response-status lines and phrases; a regularised logistic model of hashed
 character, shape and word n-grams with length, place and title features is
-fitted on a bounded sample of them and scores every segment of every document.
-The segments it takes are checked exactly, so that notation, quoted slot syntax
-and reports of errors are let go.  Sources stand for hosts: a fifth of them is
-held out of the fit and the model is judged on those.
+fitted on a bounded sample of them and scores every segment of every document by
+its best window of a few words.  The model decides which segments are taken;
+those are checked exactly, so that notation and reports of errors are let go.
+Sources stand for hosts: a fifth of them is held out of the fit and the model is
+judged on those.
 """
 
 from __future__ import annotations
@@ -25,7 +26,13 @@ from tessera.llm.blocks import mix, slices
 
 BITS = 18
 #: Labelled segments of each kind that the model may be fitted on.
-SAMPLE = {"positive": 6_000, "near": 6_000, "plain": 6_000}
+SAMPLE = {"positive": 12_000, "near": 6_000, "plain": 18_000}
+#: Documents, about, of which the labelled segments are drawn by a hash of the id.
+SAMPLE_DOCUMENTS = 40_000
+#: Characters of the windows that are scored, and how far they are apart.
+WINDOW, STRIDE = 64, 16
+#: Value of a length, title or place feature; an n-gram's is 1.
+EXTRA = 0.25
 #: One source in so many is held out of the fit.
 HELD_OUT = 5
 
@@ -40,7 +47,8 @@ SLOTS = re.compile(
     | (?<!_)__[A-Z]\w*?__(?!_) | \[\[\s*\w[\w\ ]*\]\] | <<\s*\w[\w\ ]*>> | <[A-Z][A-Z_]{1,30}> | \[[A-Z][a-z]\w{1,30}\] | \[N[A-Z][a-z]\w*\]
     | <\s*(?:[Ii]nsert|[Aa]dd|[Ee]nter|[Yy]our)\s[^<>\n]{1,50}> | <[^<>\n]{1,30}(?:待定|待填|待补)>
     | \[\s*(?:TODO|TBD|TBA|FIXME|INSERT|PLACEHOLDER|XXX)\b[^\[\]\n]{0,60}\] | \[[^\[\]\n]{1,50}\sto\ be\ (?:added|inserted|filled\ in|supplied|provided|confirmed|determined)\]
-    | [\[【](?:待|请|此处)(?:填写|填入|填|补充|补|定|输入)[^\]】\n]{0,40}[\]】]
+    | [\[【(（](?:待|请|此处)(?:填写|填入|填|补充|补|定|输入)[^\]】)）\n]{0,40}[\]】)）] | @@\w[\w.\ ]{0,40}@@ | [(（\[][^()（）\[\]\n]{1,40}[:：]\s*[?？]{2,}\s*[)）\]] | (?<![\w%])%[A-Z][A-Z_]{2,}%(?![\w%])
+    | \[\s*(?:Your|Insert|Enter|Add)\s[^\[\]\n]{1,40}\]
     | _{4,} | (?<![A-Za-z])X{4,}(?![A-Za-z])
     """,
     re.VERBOSE,
@@ -65,7 +73,7 @@ STATUS = re.compile(rf"^(?:https?\s+)?(?:status|error|fehler|fehlercode|código|
 ERRORS = re.compile(
     r"""
     \bthe\s+requested\s+(?:url|page|resource)\b.{0,80}\bnot\s+found\b | ^an?\s+(?:unexpected\s+)?(?:error|exception)\s+occurred\b | ^(?:oops!?\s*)?something\s+went\s+wrong\b
-    | ^(?:oops[!.]?|access\s+denied[.!]?)$ | ^sorry,\s+this\s+\w+\s+could\s+not\s+be\s+loaded | \bcan(?:'|’)?(?:no)?t\s+find\s+the\s+page\b | ^page\s+not\s+found
+    | ^(?:oops[!.]?|access\s+denied[.!]?)$ | ^sorry,\s+this\s+\w+\s+could\s+not\s+be\s+loaded | \bcan(?:'|’)?(?:no)?t\s+find\s+the\s+page\b | ^page\s+not\s+(?:found|available)
     | ^you\s+do\s+not\s+have\s+permission\s+to\s+(?:view|access) | ^your\s+session\s+has\s+expired | ^too\s+many\s+requests\s+from | ^the\s+(?:service|site|server)\s+is\s+(?:temporarily\s+)?(?:offline|unavailable|down)
     | ^(?:fatal|parse)\s+error:\s | ^traceback\b | ^(?:please\s+)?complete\s+the\s+check\b.*\brobot\b | ^checking\s+your\s+browser\b | ^verify\s+(?:that\s+)?you\s+are\s+(?:a\s+)?human
     | angeforderte\s+seite\s+wurde\s+nicht\s+gefunden | \bseite\s+(?:konnte\s+)?nicht\s+gefunden\b | ^zugriff\s+verweigert
@@ -94,9 +102,7 @@ TRIGGERS = (
     + ["error:", "traceback", "robot", "your browser", "human", "nicht gefunden", "verweigert", "se pudo", "no encontrada", "denegado", "页面不存在", "服务器", "权限", "系统繁忙", "登录", "错误码", "失败"]
     + ["script", "need to enable", "脚本", "enable js", "activate js", "turn on js", "switch on js", "allow js", "require js", "requires js", "need js", "needs js"]
 )
-_SLOT_SIGN = re.compile(r"[{<\[【%_]|XXXX")
-#: A response status is a short line.
-STATUS_CHARS = 90
+_SLOT_SIGN = re.compile(r"[{<\[【%_@]|XXXX|[?？]{2}|[(（](?:待|请|此处)")
 
 
 @lru_cache(maxsize=1)
@@ -119,86 +125,118 @@ def segments(text: str) -> list[str]:
     return [s for s in (re.sub(r"^[\s\-*#>•]+", "", x).strip() for x in _CUT.split(text)) if s]
 
 
+def bare(segment: str) -> str:
+    """The segment in which what is quoted as notation is blanked, of the same length."""
+    return _QUOTED.sub(lambda m: " " * len(m[0]), segment) if "`" in segment or "$" in segment else segment
+
+
+def marked(segment: str) -> tuple[str, int, int] | None:
+    """The kind of residue of a segment and where it stands in ``bare``; the exact check."""
+    plain = bare(segment)
+    if _SLOT_SIGN.search(plain) and (m := SLOTS.search(plain)):
+        return "slot", *m.span()
+    worded = next(_triggers().iter(re.sub(r"\s+", " ", plain.lower())), None) is not None
+    if worded and (m := FILLER.search(plain)):
+        return "filler", *m.span()
+    if (m := STATUS.search(plain)) or worded and (m := ERRORS.search(plain)):
+        return "error", *m.span()
+    return ("notice", *m.span()) if worded and (m := NOTICES.search(plain)) else None
+
+
 def residue(segment: str) -> str | None:
-    """slot, filler, error or notice, if the segment is such; the exact check."""
-    bare = _QUOTED.sub(" ", segment) if "`" in segment or "$" in segment else segment
-    if _SLOT_SIGN.search(bare) and SLOTS.search(bare):
-        return "slot"
-    short = len(bare) <= STATUS_CHARS
-    worded = next(_triggers().iter(re.sub(r"\s+", " ", bare.lower())), None) is not None
-    if worded and FILLER.search(bare):
-        return "filler"
-    if short and STATUS.search(bare) or worded and ERRORS.search(bare):
-        return "error"
-    return "notice" if worded and NOTICES.search(bare) else None
+    """slot, filler, error or notice, if the segment is such."""
+    found = marked(segment)
+    return found[0] if found else None
 
 
 # ---- the model ----
 
 
-def _features(parts: list[str], title: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all segments in one array, and where each segment's begin."""
-    joined = "\n".join(parts) + "\n"
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    lengths = np.fromiter((len(p) + 1 for p in parts), dtype=np.int64, count=len(parts))
-    owner = np.repeat(np.arange(len(parts)), lengths)
-    lower = np.where((points >= 65) & (points <= 90), points + 32, points)
-    kind = np.where((points >= 97) & (points <= 122), 1, np.where((points >= 65) & (points <= 90), 2, np.where((points >= 48) & (points <= 57), 3, np.where(points >= 0x2E80, 4, 0))))
+def _grams(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Families of (feature number, position) over the texts laid out one after another, and where each text begins."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+    big, small = (points >= 65) & (points <= 90), (points >= 97) & (points <= 122)
+    digit = (points >= 48) & (points <= 57)
+    lower = np.where(big, points + 32, np.where(digit, 48, points)).astype(np.uint64)
+    kind = np.where(small, 1, np.where(big, 2, np.where(digit, 3, np.where(points >= 0x2E80, 4, 0)))).astype(np.uint8)
+    kind[(points >= 0x3000) & (points <= 0x303F) | (points >= 0xFF00)] = 0
     shape = np.where(kind > 0, kind, points).astype(np.uint64)
-    keep = np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] == 0) | (owner[1:] != owner[:-1])]
-    ids, owners = [], []
+    keep = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] == 0) | (owner[1:] != owner[:-1])]) if len(points) else np.empty(0, np.int64)
+    out = []
 
-    def grams(seq: np.ndarray, own: np.ndarray, sizes: tuple[int, ...], salt: int) -> None:
-        seq = seq.astype(np.uint64) + np.uint64(salt)
-        for n in sizes:
+    def add(seq: np.ndarray, own: np.ndarray, place: np.ndarray | None, sizes: tuple[int, ...], salt: int) -> None:
+        h = np.zeros(len(seq), dtype=np.uint64)
+        for n in range(1, max(sizes) + 1):
             count = len(seq) - n + 1
             if count <= 0:
-                continue
-            h = np.zeros(count, dtype=np.uint64)
-            for k in range(n):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + seq[k : k + count]
-            same = own[:count] == own[n - 1 :]
-            ids.append(mix(h[same] + np.uint64(n)))
-            owners.append(own[:count][same])
-
-    grams(lower, owner, (4, 6), 1 << 40)
-    grams(shape[keep], owner[keep], (2, 3, 4, 5), 1 << 41)
-    size = np.bincount(owner, minlength=len(parts)).astype(np.float64)
-    marks = np.bincount(owner[kind == 0], minlength=len(parts)) / size
-    for salt, bucket in ((1, np.log2(size).astype(np.int64)), (2, (marks * 10).astype(np.int64)), (3, title), (4, place)):
-        ids.append(mix(bucket.astype(np.uint64) + np.uint64(salt << 50)))
-        owners.append(np.arange(len(parts)))
-    ids_, own = np.concatenate(ids) >> np.uint64(64 - BITS), np.concatenate(owners)
-    order = np.argsort(own, kind="stable")
-    return ids_[order].astype(np.int64), np.searchsorted(own[order], np.arange(len(parts) + 1))
-
-
-def _margins(weights: np.ndarray, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    sums = np.r_[0.0, np.cumsum(weights[ids], dtype=np.float64)]
-    return (sums[begin[1:]] - sums[begin[:-1]]) + weights[-1]
-
-
-def fit(parts: list[str], labels: np.ndarray, title: np.ndarray, place: np.ndarray, epochs: int = 12, rate: float = 0.3, l2: float = 1e-6) -> np.ndarray:
-    """Weights of the logistic model (the last is the bias), by adaptive gradient steps in a fixed order."""
+                return
+            h = h[:count] * np.uint64(0x9E3779B97F4A7C15) + (seq[n - 1 :] + np.uint64(salt))
+            if n in sizes:
+                at = np.flatnonzero(own[:count] == own[n - 1 :])
+                out.append(((mix(h[at] + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int64), at if place is None else place[at]))
+
+    add(lower, owner, None, (4, 7), 1 << 40)
+    add(shape[keep], owner[keep], keep, (2, 3, 5), 1 << 41)
+    return out, np.r_[0, np.cumsum(lengths)]
+
+
+def _extra(size: np.ndarray, title: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Length, title and place features of segments, one row each."""
+    each = ((1, np.log2(np.maximum(size, 1)).astype(np.int64)), (2, title), (3, place))
+    return np.stack([(mix(x.astype(np.uint64) + np.uint64(salt << 50)) >> np.uint64(64 - BITS)).astype(np.int64) for salt, x in each], axis=1)
+
+
+def framed(segment: str) -> str:
+    return f"\n{bare(segment)}\n"
+
+
+def margins(weights: np.ndarray, parts: list[str], title: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The model's margin of each segment: that of its best window, so that no length dilutes it."""
+    families, begin = _grams([framed(p) for p in parts])
+    score = np.zeros(int(begin[-1]))
+    for ids, at in families:
+        score[at] += weights[ids]
+    sums = np.r_[0.0, np.cumsum(score)]
+    size = np.diff(begin)
+    n = np.maximum(0, -(-(size - WINDOW) // STRIDE)) + 1
+    first = np.r_[0, np.cumsum(n)[:-1]]
+    start = np.minimum(np.repeat(begin[:-1], n) + (np.arange(n.sum()) - np.repeat(first, n)) * STRIDE, np.repeat(np.maximum(begin[:-1], begin[1:] - WINDOW), n))
+    end = np.minimum(start + WINDOW, np.repeat(begin[1:], n))
+    best = np.maximum.reduceat(sums[end] - sums[start], first)
+    return best + EXTRA * weights[_extra(size - 2, title, place)].sum(axis=1) + weights[-1]
+
+
+def fit(windows: list[str], labels: np.ndarray, size: np.ndarray, title: np.ndarray, place: np.ndarray, epochs: int = 10, rate: float = 0.3, l2: float = 1e-6) -> np.ndarray:
+    """Weights of the logistic model over windows (the last is the bias), by adaptive gradient steps in a fixed order."""
     weights = np.zeros((1 << BITS) + 1)
     squares = np.full_like(weights, 1e-3)
-    if not len(parts):
+    if not len(windows):
         return weights
-    ids, begin = _features(parts, title, place)
+    families, begin = _grams(windows)
+    ids, at = np.concatenate([f[0] for f in families]), np.concatenate([f[1] for f in families])
+    owner = np.searchsorted(begin, at, "right") - 1
+    order = np.argsort(owner, kind="stable")
+    ids, edges = ids[order], np.searchsorted(owner[order], np.arange(len(windows) + 1))
+    extra = _extra(size, title, place)
     step = 256
-    order = np.argsort(mix(np.arange(len(parts), dtype=np.uint64)))
+    heavier = min(8.0, max(1.0, (labels == 0).sum() / max(1.0, labels.sum())))
+    turn = np.argsort(mix(np.arange(len(windows), dtype=np.uint64)))
     for _ in range(epochs):
-        for at in range(0, len(order), step):
-            chosen = order[at : at + step]
-            spans = [ids[begin[c] : begin[c + 1]] for c in chosen]
-            sizes = np.array([len(s) for s in spans])
+        for k in range(0, len(turn), step):
+            chosen = turn[k : k + step]
+            spans = [x for c in chosen for x in (ids[edges[c] : edges[c + 1]], extra[c])]
+            sizes = (edges[chosen + 1] - edges[chosen]) + extra.shape[1]
             flat = np.concatenate(spans)
-            sums = np.r_[0.0, np.cumsum(weights[flat])]
             ends = np.cumsum(sizes)
+            scale = np.ones(len(flat))
+            scale[(ends[:, None] - 1 - np.arange(extra.shape[1])).ravel()] = EXTRA
+            sums = np.r_[0.0, np.cumsum(weights[flat] * scale)]
             margin = sums[ends] - sums[ends - sizes] + weights[-1]
-            error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[chosen]
+            error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[chosen]) * np.where(labels[chosen] > 0, heavier, 1.0)
             seen, back = np.unique(flat, return_inverse=True)
-            gradient = np.bincount(back, weights=np.repeat(error, sizes), minlength=len(seen)) / step + l2 * weights[seen]
+            gradient = np.bincount(back, weights=np.repeat(error, sizes) * scale, minlength=len(seen)) / step + l2 * weights[seen]
             squares[seen] += gradient**2
             weights[seen] -= rate * gradient / np.sqrt(squares[seen])
             g = error.sum() / step
@@ -221,14 +259,27 @@ def _laid_out(texts: list[str | None], titled: list[bool]) -> tuple[list[str], n
     return parts, np.array(of, dtype=np.int64), np.array(title, dtype=np.int64), np.array(place, dtype=np.int64)
 
 
-def weak_label(segment: str) -> str | None:
-    """positive, near (no residue, but words or signs of it), or plain."""
-    if residue(segment):
-        return "positive"
-    return "near" if _NEAR.search(segment) else "plain"
+def weak_label(segment: str) -> tuple[str, int, int]:
+    """positive, near (no residue, but words or signs of it) or plain, and where what says so begins and ends (-1: nothing does)."""
+    found = marked(segment)
+    if found:
+        return "positive", found[1], found[2]
+    m = _NEAR.search(segment)
+    return ("near", *m.span()) if m else ("plain", -1, -1)
+
+
+def _window(segment: str, middle: int, h: int) -> str:
+    """The part of a segment that the model learns from: about its middle, or anywhere."""
+    whole = framed(segment)
+    room = len(whole) - WINDOW
+    if room <= 0:
+        return whole
+    at = middle + 1 - WINDOW // 2 + h % STRIDE - STRIDE // 2 if middle >= 0 else h % (room + 1)
+    at = min(max(0, at), room)
+    return whole[at : at + WINDOW]
 
 
-_LABELLED = "label string, segment string, title int, place int, host string, h long"
+_LABELLED = "label string, window string, size int, title int, place int, host string, h long"
 
 
 def _labelled(limit: dict[str, int]):
@@ -240,20 +291,26 @@ def _labelled(limit: dict[str, int]):
             texts, hosts = batch.column("text").to_pylist(), batch.column("host").to_pylist()
             titled = [bool(x and x.strip()) for x in batch.column("title").to_pylist()]
             parts, of, title, place = _laid_out(texts, titled)
+            whole = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts]
             for s, i, t, p in zip(parts, of, title, place):
+                # an occurrence in a text counts, so that frequent segments are in the sample; copies of a text count once
                 data = s.encode("utf-8", "surrogatepass")
-                h = zlib.crc32(data) << 31 | zlib.adler32(data) >> 1
-                # plain segments abound: an eighth of them, chosen by hash, has the least hashes of them all
-                label = weak_label(s)
-                if label == "plain" and h >> 60:
+                h = zlib.crc32(data, whole[i]) << 31 | zlib.adler32(data) >> 1
+                # plain segments abound: a quarter of them, chosen by hash, has the least hashes of them all
+                label, begin, end = weak_label(s)
+                if label == "plain" and h >> 61:
                     continue
-                kept[label].setdefault(h, (s, int(t), int(p), hosts[i], h))
+                kept[label].setdefault(h, (_window(s, (begin + end) // 2, h), len(s), int(t), int(p), hosts[i], h))
+                if label == "positive":  # once more without its context, which should not decide
+                    kept[label].setdefault(h ^ 1, (framed(bare(s)[begin:end]), end - begin, int(t), int(p), hosts[i], h ^ 1))
             for k, rows in kept.items():
                 if len(rows) > 4 * limit[k]:
                     kept[k] = dict(sorted(rows.items())[: limit[k]])
         rows = [(k, *row) for k, mine in kept.items() for _, row in sorted(mine.items())[: limit[k]]]
-        columns = list(zip(*rows)) if rows else [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.string()), pa.array(columns[5], pa.int64())], names=["label", "segment", "title", "place", "host", "h"])
+        names = ("label", "window", "size", "title", "place", "host", "h")
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64())
+        columns = list(zip(*rows)) if rows else [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=list(names))
 
     return run
 
@@ -269,33 +326,43 @@ def _is_held_out(host: str | None) -> bool:
     return zlib.crc32((host or "").encode()) % HELD_OUT == 0
 
 
-def train(documents: DataFrame, *, text: str = "text", title: str = "title", host: str = "source", sample: dict[str, int] = SAMPLE, keep: float = 0.999) -> Model:
-    """Fits the model on at most ``sample`` labelled segments and finds its margin.
+def train(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", title: str = "title", host: str = "source", sample: dict[str, int] = SAMPLE, sample_documents: int = SAMPLE_DOCUMENTS, keep: float = 0.999, slack: float = 1.0) -> Model:
+    """Fits the model on windows of at most ``sample`` labelled segments, of about ``sample_documents`` documents at most.
 
-    The margin keeps the part ``keep`` of the weakly positive segments of the
-    held-out hosts (of the fitted ones, where no host is held out), less a slack of 2.
+    The margin from which a segment is taken keeps the part ``keep`` of the
+    weakly positive segments of the held-out hosts (of the fitted ones, where no
+    host is held out), less ``slack`` and 20 by the root of their number: the
+    fewer there are, the less their least margin says.
     """
-    rows = documents.select(F.col(text).alias("text"), F.col(title).cast("string").alias("title"), F.col(host).cast("string").alias("host")).where("text IS NOT NULL")
+    rows = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
+    one_in = max(1, rows.count() // sample_documents)
+    rows = rows.where(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(one_in)) == 0).select(F.col(text).alias("text"), F.col(title).cast("string").alias("title"), F.col(host).cast("string").alias("host"))
     drawn = rows.mapInArrow(_labelled(sample), _LABELLED)
     found = _draw(drawn, sample)
     if not any(r["label"] == "positive" for r in found):
         return Model(np.zeros((1 << BITS) + 1), float("-inf"), {"fitted": 0.0})
-    parts = [r["segment"] for r in found]
+    windows = [r["window"] for r in found]
     labels = np.array([r["label"] == "positive" for r in found], dtype=np.float64)
-    titles, places = np.array([r["title"] for r in found]), np.array([r["place"] for r in found])
+    size, titles, places = (np.array([r[k] for r in found]) for k in ("size", "title", "place"))
     unseen = np.array([_is_held_out(r["host"]) for r in found])
     use = np.flatnonzero(~unseen)
     if not labels[use].any():
-        use = np.arange(len(parts))
-    weights = fit([parts[i] for i in use], labels[use], titles[use], places[use])
-    margin = _margins(weights, *_features(parts, titles, places))
+        use = np.arange(len(windows))
+    weights = fit([windows[i] for i in use], labels[use], size[use], titles[use], places[use])
+    families, begin = _grams(windows)
+    score = np.zeros(int(begin[-1]))
+    for ids, at in families:
+        score[at] += weights[ids]
+    sums = np.r_[0.0, np.cumsum(score)]
+    margin = sums[begin[1:]] - sums[begin[:-1]] + EXTRA * weights[_extra(size, titles, places)].sum(axis=1) + weights[-1]
     judged = unseen if labels[unseen].any() else ~unseen
     good = np.sort(margin[judged & (labels == 1)])
-    least = float(good[int((1 - keep) * len(good))]) - 2.0
+    least = float(good[int((1 - keep) * len(good))]) - slack - 20 / np.sqrt(len(good))
     taken = margin[judged] > 0
     true = labels[judged] == 1
     hits = float((taken & true).sum())
-    report = {"fitted": float(len(use)), "unseen": float(judged.sum()), "precision": hits / max(1.0, float(taken.sum())), "recall": hits / max(1.0, float(true.sum())), "margin": least}
+    near = margin[judged & (labels == 0)]
+    report = {"fitted": float(len(use)), "unseen": float(judged.sum()), "precision": hits / max(1.0, float(taken.sum())), "recall": hits / max(1.0, float(true.sum())), "margin": least, "negatives_taken": float((near >= least).mean()) if len(near) else 0.0}
     return Model(weights, least, report)
 
 
@@ -321,34 +388,40 @@ def _draw(drawn: DataFrame, sample: dict[str, int], groups: int = 8) -> list:
     """The sample: the least hashes of each label over all tasks, in two levels."""
     fewer = drawn.withColumn("group", F.expr(f"pmod(h, {groups})")).repartition("group").drop("group").mapInArrow(_fewest(sample), _LABELLED)
     out: list = []
-    rows = fewer.select("label", "segment", "title", "place", "host", "h").collect()  # at most groups times the sample
+    rows = fewer.collect()  # at most groups times the sample
     for label, n in sample.items():
         out += sorted((r for r in rows if r["label"] == label), key=lambda r: r["h"])[:n]
     return out
 
 
-def residue_documents(documents: DataFrame, model: Model | None = None, *, doc_id: str = "doc_id", text: str = "text", title: str = "title") -> DataFrame:
-    """(doc_id, kinds, segments, share): documents with a segment that the exact check finds.
+def residue_documents(documents: DataFrame, model: Model | None = None, *, doc_id: str = "doc_id", text: str = "text", title: str = "title", host: str = "source", checked: bool = True) -> DataFrame:
+    """(doc_id, kinds, segments, share): documents with a segment that the model takes and the exact check upholds.
 
-    kinds are the kinds found, share the part of the document's characters in
-    such segments.  Every segment is checked; ``model`` is taken for older callers
-    and decides nothing.  A null text has none; rows of a null id are left out.  Texts
-    are scored whole.  Other columns are not touched.
+    The model (fitted on ``documents`` if none is given) scores every segment of
+    every text by its best window and takes those at its margin or above; of
+    these the exact check lets go what is none, and names the kind.  Without
+    ``checked`` the model decides alone, at margin 0, and its kind is ``residue``.
+    share is the part of the document's characters in such segments.  A null
+    text has none; rows of a null id are left out.  Other columns are not touched.
     """
     of_type = dict(documents.dtypes)[doc_id]
+    model = model or train(documents, doc_id=doc_id, text=text, title=title, host=host)
+    known = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = known.value
+        least = fitted.least if checked else 0.0
         for batch in batches:
             texts = batch.column("text").to_pylist()
             titled = [bool(x and x.strip()) for x in batch.column("title").to_pylist()]
             for a, b in slices(texts, 400_000):
-                parts, of, _, _ = _laid_out(texts[a:b], titled[a:b])
+                parts, of, titles, places = _laid_out(texts[a:b], titled[a:b])
                 if not parts:
                     continue
                 found: dict[int, list[tuple[str, int]]] = {}
-                for part, i in zip(parts, of.tolist()):
-                    if kind := residue(part):
-                        found.setdefault(i, []).append((kind, len(part)))
+                for k in np.flatnonzero(margins(fitted.weights, parts, titles, places) >= least).tolist():
+                    if kind := residue(parts[k]) if checked else "residue":
+                        found.setdefault(int(of[k]), []).append((kind, len(parts[k])))
                 total = np.bincount(of, weights=[len(p) for p in parts], minlength=b - a)
                 at = sorted(found)
                 yield pa.RecordBatch.from_pydict({

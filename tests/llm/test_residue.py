@@ -1,12 +1,13 @@
 import numpy as np
 import pytest
 
-from tessera.llm.residue import _features, _margins, fit, residue, residue_documents, segments, train
+from tessera.llm.residue import fit, framed, margins, residue, residue_documents, segments, train
 
 REAL = ["Loss of OPA1 doubled the peak width in MIN6 clusters.", "重新分析 72 个培养皿后，占空比由 5.3 改为 9.2。", "Die Messung mit TMRM ergab 3.2 Einheiten.", "No se probó si PC es necesaria para la fusión."]
 CASES = [
     ("Overexpressed {{gene}} reached the nucleoid.", "slot"), ("Per-islet medians of %%TIME_POINT%% ranged.", "slot"), ("We saw [dose to be added] of it.", "slot"), ("该研究没有检XXXX验因果作用。", "slot"), ("在【此处填写剂量】后恢复。", "slot"),
     ("{ dose } of metformin", "slot"), ("The [CellLine] kept it.", "slot"), ("The _____ of the matrix", "slot"), ("Loss of <insert gene> fell.", "slot"),
+    ("the dose of @@first_author@@ rose", "slot"), ("lost (section: ???) signal", "slot"), ("敲低 NNT（请补充时相）使其下降", "slot"), ("Dear [Your Name], the dose", "slot"), ("given %COMPOUND% for 3 h", "slot"),
     ("Lorem ipsum dolor sit amet.", "filler"), ("这里是占位文本，请替换。", "filler"), ("Click to add text", "filler"),
     ("404 Not Found", "error"), ("HTTP Status 503 – Service Unavailable", "error"), ("Access denied.", "error"), ("页面不存在或已被删除。", "error"),
     ("Please enable JavaScript to view this article.", "notice"), ("您的浏览器未启用 JavaScript，无法显示正文。", "notice"),
@@ -32,9 +33,9 @@ def documents(spark, n=240):
         text = " ".join(REAL[(k + j) % 4].replace("72", str(k)) for j in range(3))
         bad = k % 4 == 0
         if bad:
-            text += " " + CASES[k % 18][0]
+            text += " " + CASES[k % 23][0]
         elif k % 3 == 0:
-            text += " " + CASES[18 + k % 9][0]
+            text += " " + CASES[23 + k % 9][0]
         rows.append((k, text, f"host{k % 11}", None if k % 2 else "A title", bad))
     return rows, spark.createDataFrame(rows, "doc_id long, text string, source string, title string, kinds boolean").repartition(3)
 
@@ -48,14 +49,45 @@ def test_model_finds_what_the_rules_uphold(spark):
     assert model.report["precision"] > 0.9 and model.report["recall"] > 0.5
 
 
+def test_model_alone_on_unseen_hosts(spark):
+    """The exact check takes no part here: what the model takes at margin 0, over documents of hosts it was not fitted on."""
+    rows, df = documents(spark, 1200)
+    from tessera.llm.residue import _is_held_out
+
+    model = train(df)
+    unseen = {k: bad for k, _, host, _, bad in rows if _is_held_out(host)}
+    got = {r["doc_id"] for r in residue_documents(df, model, checked=False).collect()} & set(unseen)
+    true = {k for k, bad in unseen.items() if bad}
+    assert true and len(got & true) >= 0.95 * len(true) and len(got & true) >= 0.95 * len(got)
+
+
 def test_held_out_accuracy():
     rng = np.random.default_rng(0)
     parts = [REAL[i % 4].replace("72", str(i)) + (" {{x%d}}" % i if i % 2 else f" ({i})") for i in range(400)]
     labels, none = np.array([i % 2 for i in range(400)], float), np.zeros(400, int)
-    use, rest = rng.permutation(400)[:300], rng.permutation(400)[300:]
-    weights = fit([parts[i] for i in use], labels[use], none[:300], none[:300])
-    margin = _margins(weights, *_features([parts[i] for i in rest], none[:100], none[:100]))
-    assert ((margin > 0) == labels[rest]).mean() > 0.97
+    order = rng.permutation(400)
+    use, rest = order[:300], order[300:]
+    windows = [framed(p)[-64:] for p in parts]
+    weights = fit([windows[i] for i in use], labels[use], none[:300] + 60, none[:300], none[:300])
+    got = margins(weights, [parts[i] for i in rest], none[:100], none[:100])
+    assert ((got > 0) == labels[rest]).mean() > 0.97
+
+
+def test_margin_of_a_long_segment_is_that_of_its_best_window():
+    rng = np.random.default_rng(1)
+    weights = rng.normal(size=(1 << 18) + 1)
+    text = "".join(rng.choice(list("abc {}1")) for _ in range(500))
+    one = np.zeros(1, int)
+    whole = framed(text)
+    from tessera.llm.residue import EXTRA, STRIDE, WINDOW, _extra, _grams
+
+    families, _ = _grams([whole])
+    score = np.zeros(len(whole))
+    for ids, at in families:
+        score[at] += weights[ids]
+    starts = sorted({*range(0, len(whole) - WINDOW, STRIDE), len(whole) - WINDOW})
+    best = max(score[a : a + WINDOW].sum() for a in starts)
+    assert np.isclose(margins(weights, [text], one, one)[0], best + EXTRA * weights[_extra(np.array([500]), one, one)].sum() + weights[-1])
 
 
 def test_nulls_long_and_empty(spark):
