@@ -99,8 +99,7 @@ def test_nulls_long_and_empty(spark):
 
 
 def test_slot_in_a_long_line_without_sentence_ends(spark):
-    _, df = documents(spark)
-    model = train(df)
+    model = train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     line = REAL[0].rstrip(".").replace(". ", ", ") + ", "
     rows = [(n, line * n + "and {{gene}} then " + line * n, "h", None) for n in (3, 40, 4000)] + [(5, line * 40, "h", None)]
     got = residue_documents(spark.createDataFrame(rows, "doc_id long, text string, source string, title string"), model).collect()
