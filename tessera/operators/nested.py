@@ -2,9 +2,11 @@
 
 A record is a tree.  A tree automaton runs over it from the leaves up and gives
 every child a state: its shape, spelled by its members and their states.  The
-state is the child's variant.  All children share one supertype table (record,
-path, ordinals, the parent's ordinals, variant, payload); ``subtype`` routes
-the children of a path to a typed table, which keeps those keys.
+state is the child's variant, and decides what becomes of it: the null state is
+no child, an object goes to the subtype of its path's objects, a bare text,
+number or list to the subtype of those.  All children share one supertype table
+(record, path, ordinals, the parent's ordinals, variant, payload); the typed
+tables of the subtypes keep those keys.
 
 Columns that are nested already are taken apart by built-in expressions in one
 pass; JSON of drifting form goes through the same automaton in Python.
@@ -23,6 +25,9 @@ from pyspark.sql import types as T
 #: A member of a record that has children, and theirs.
 Members = Mapping[str, "Members"]
 
+#: The state of what is no child.
+NONE = "null"
+
 NODE = "record_key string, child_path string, ordinals string, parent_ordinals string, variant string, payload string"
 
 
@@ -66,9 +71,10 @@ def _nodes(col: Column, of: T.DataType, path: str, before: Column | None, childr
 
     def one(x: Column, i: Column) -> Column:
         place = i.cast("string") if before is None else F.concat(before, F.lit("."), i.cast("string"))
-        own = F.struct(F.lit(path).alias("child_path"), place.alias("ordinals"), (before if before is not None else F.lit(None).cast("string")).alias("parent_ordinals"), state(x, element, children).alias("variant"), _bare(x, element, children).alias("payload"))
+        shape = state(x, element, children)
+        own = F.struct(F.lit(path).alias("child_path"), place.alias("ordinals"), (before if before is not None else F.lit(None).cast("string")).alias("parent_ordinals"), shape.alias("variant"), _bare(x, element, children).alias("payload"))
         below = [_nodes(x[name], element[name].dataType, f"{path}.{name}", place, more) for name, more in children.items() if isinstance(element, T.StructType) and name in element.names]
-        return F.when(x.isNotNull(), F.concat(F.array(own), *below) if below else F.array(own)).otherwise(F.array().cast(f"array<struct<{_FIELDS}>>"))
+        return F.when(shape != NONE, F.concat(F.array(own), *below) if below else F.array(own)).otherwise(F.array().cast(f"array<struct<{_FIELDS}>>"))
 
     return F.coalesce(F.flatten(F.transform(many, one)), F.array().cast(f"array<struct<{_FIELDS}>>"))
 
@@ -133,11 +139,12 @@ def _walk(value: object, path: str, before: str | None, children: Members) -> It
     value = _decoded(value)
     for i, x in enumerate(value if isinstance(value, list) else [value]):
         x = _decoded(x)
-        if x is None:
+        shape = _state(x, children)
+        if shape == NONE:
             continue
         place = str(i) if before is None else f"{before}.{i}"
         bare = {k: v for k, v in x.items() if k not in children} if isinstance(x, dict) else x
-        yield path, place, before, _state(x, children), json.dumps(bare, ensure_ascii=False)
+        yield path, place, before, shape, json.dumps(bare, ensure_ascii=False)
         if isinstance(x, dict):
             for name, more in children.items():
                 if name in x:
@@ -185,10 +192,34 @@ def shred_json(df: DataFrame, key: str, body: str, members: Members, wrapper: st
     return rows.mapInArrow(run, NODE).distinct()
 
 
-def subtype(nodes: DataFrame, path: str, schema: str) -> DataFrame:
-    """The typed table of a path: the supertype's keys and the payload's members; a payload of another type gives nulls."""
-    typed = F.from_json(F.when(F.col("payload").startswith("{"), F.col("payload")), schema)
-    return nodes.where(F.col("child_path") == path).select("record_key", "ordinals", "parent_ordinals", "variant", typed.alias("typed")).select("record_key", "ordinals", "parent_ordinals", "variant", "typed.*")
+def subtype_of(variant: Column) -> Column:
+    """Where a child's state sends it: object, list, str, num or bool; null for the state of what is no child."""
+    return F.when(variant.startswith("{"), "object").when(variant.startswith("["), "list").when(variant != NONE, variant)
+
+
+def routed(nodes: DataFrame) -> DataFrame:
+    """The supertype table: ``nodes`` with the ``subtype`` that their states send them to."""
+    return nodes.withColumn("subtype", subtype_of(F.col("variant"))).where("subtype IS NOT NULL")
+
+
+def subtype(nodes: DataFrame, path: str, schema: str, lone: str | None = None, lone_as: str = "str") -> DataFrame:
+    """The typed table of a path's objects: the supertype's keys and the payload's members.
+
+    Children in the state ``lone_as`` (a bare text in place of an object) are
+    rows with their value as the member ``lone``, if that is given.  Children of
+    other states belong to other subtypes; see ``rest``.
+    """
+    mine = routed(nodes).where(F.col("child_path") == path)
+    whole = F.when(F.col("subtype") == "object", F.col("payload"))
+    if lone:
+        whole = F.when(F.col("subtype") == lone_as, F.concat(F.lit(f'{{"{lone}":'), F.col("payload"), F.lit("}"))).otherwise(whole)
+    rows = mine.withColumn("_whole", whole).where("_whole IS NOT NULL")
+    return rows.select("record_key", "ordinals", "parent_ordinals", "variant", F.from_json("_whole", schema).alias("typed")).select("record_key", "ordinals", "parent_ordinals", "variant", "typed.*")
+
+
+def rest(nodes: DataFrame, path: str, *taken: str) -> DataFrame:
+    """(record_key, ordinals, parent_ordinals, variant, subtype, payload): the children of a path of all other subtypes."""
+    return routed(nodes).where((F.col("child_path") == path) & ~F.col("subtype").isin(*taken)).select("record_key", "ordinals", "parent_ordinals", "variant", "subtype", "payload")
 
 
 def variants(nodes: DataFrame) -> DataFrame:

@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.nested import shred_columns, shred_json, subtype, variants
+from tessera.operators.nested import Members, rest, routed, shred_columns, shred_json, subtype, variants
 from tessera.session import table
 
 CLAIMS = {"required_claims": {"evidence": {}}, "source_reviews": {}}
 TEXTS = {"fulltext": {"sections": {"paragraphs": {}}}}
 
 
+def _nodes(spark: SparkSession, sf_dir: str, members: Members) -> DataFrame:
+    """The children under ``members``, of the tables that have them."""
+    raw = shred_json(table(spark, sf_dir, "raw_records"), "record_id", "body", members)
+    for name, key, own in (("pilot_5_questions", "question_id", CLAIMS), ("review_pool_assessment", "assessment_id", TEXTS)):
+        if mine := {m: more for m, more in members.items() if m in own}:
+            raw = raw.unionByName(shred_columns(table(spark, sf_dir, name), key, mine))
+    return raw
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every child of the three tables, with its parent link, shape and content."""
-    pilot = shred_columns(table(spark, sf_dir, "pilot_5_questions"), "question_id", CLAIMS)
-    pool = shred_columns(table(spark, sf_dir, "review_pool_assessment"), "assessment_id", TEXTS)
-    raw = shred_json(table(spark, sf_dir, "raw_records"), "record_id", "body", CLAIMS | TEXTS)
-    return pilot.unionByName(pool).unionByName(raw)
+    """The supertype table: every child of the three tables, with its parent link, shape, subtype and content."""
+    return routed(_nodes(spark, sf_dir, CLAIMS | TEXTS))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,26 +38,52 @@ def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants(nodes(spark, sf_dir))
+    return variants(_nodes(spark, sf_dir, CLAIMS | TEXTS))
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subtype(nodes(spark, sf_dir), "required_claims", "text string, is_core boolean, ai_confidence string")
+    """Claims; one that is a bare text is its own text."""
+    return subtype(_nodes(spark, sf_dir, {"required_claims": CLAIMS["required_claims"]}), "required_claims", "text string, is_core boolean, ai_confidence string", lone="text")
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = subtype(nodes(spark, sf_dir), "required_claims.evidence", "source_review string, span struct<start_char: int, end_char: int>")
+    """Evidence of claims; one that is a bare text is the review that it names."""
+    out = subtype(_nodes(spark, sf_dir, {"required_claims": CLAIMS["required_claims"]}), "required_claims.evidence", "source_review string, span struct<start_char: int, end_char: int>", lone="source_review")
     return out.select("record_key", "ordinals", "parent_ordinals", "variant", "source_review", F.col("span.start_char").alias("start_char"), F.col("span.end_char").alias("end_char"))
 
 
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source reviews, which are bare texts, or objects that name one."""
+    return subtype(_nodes(spark, sf_dir, {"source_reviews": {}}), "source_reviews", "source_review string", lone="source_review")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subtype(_nodes(spark, sf_dir, TEXTS), "fulltext", "status string, path string, sha256 string, error string", lone="path")
+
+
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections; one that is a bare text is its heading."""
+    return subtype(_nodes(spark, sf_dir, TEXTS), "fulltext.sections", "heading string", lone="heading")
+
+
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subtype(nodes(spark, sf_dir), "fulltext.sections.paragraphs", "paragraph_id string, n_chars int")
+    return subtype(_nodes(spark, sf_dir, TEXTS), "fulltext.sections.paragraphs", "paragraph_id string, n_chars int", lone="paragraph_id")
+
+
+def others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children that are neither objects nor bare texts, by path: no typed table has them."""
+    every = _nodes(spark, sf_dir, CLAIMS | TEXTS)
+    parts = [rest(every, path, "object", "str").withColumn("child_path", F.lit(path)) for path in ("required_claims", "required_claims.evidence", "source_reviews", "fulltext", "fulltext.sections", "fulltext.sections.paragraphs")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("child_path", "subtype").agg(F.count("*").alias("children"))
 
 
 _P = "(SELECT question_id AS k, required_claims AS c, source_reviews AS r FROM pilot_5_questions)"
 _F = "(SELECT assessment_id AS k, fulltext.sections AS s FROM review_pool_assessment WHERE fulltext IS NOT NULL)"
 _AT = "unnest({0}) AS {1}, unnest(range(len({0}))) AS {2}"
-QUERIES = {"p6_found": found, "p6_nodes": nodes, "p6_columns": columns, "p6_variants": shapes, "p6_claims": claims, "p6_evidence": evidence, "p6_paragraphs": paragraphs}
+QUERIES = {"p6_found": found, "p6_nodes": nodes, "p6_columns": columns, "p6_variants": shapes, "p6_claims": claims, "p6_evidence": evidence, "p6_reviews": reviews, "p6_texts": texts, "p6_sections": sections, "p6_paragraphs": paragraphs, "p6_others": others}
 ORACLES = {
     "p6_columns": f"""
 WITH c AS (SELECT DISTINCT k, x, i FROM (SELECT k, {_AT.format('c', 'x', 'i')} FROM {_P}) WHERE x IS NOT NULL),

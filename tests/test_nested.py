@@ -3,7 +3,7 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.operators.nested import children_of, shred_columns, shred_json, subtype, variants
+from tessera.operators.nested import children_of, rest, routed, shred_columns, shred_json, subtype, variants
 
 MEMBERS = {"claims": {"evidence": {}}, "full": {"sections": {"paragraphs": {}}}}
 
@@ -54,3 +54,22 @@ def test_long_bodies(spark):
     body = json.dumps({"claims": [{"text": "t" * 100, "evidence": [{"a": k}]} for k in range(5000)]})
     df = spark.createDataFrame([("a", body, 1)], "id string, body string, ordinals int")
     assert shred_json(df, "id", "body", MEMBERS).count() == 10_000
+
+
+def test_states_route_children_to_their_subtypes(spark):
+    body = json.dumps({"claims": ["bare", {"text": "t", "n": 1}, 3, [1, "x"], None, True, json.dumps({"text": "in a text"})]})
+    nodes = shred_json(spark.createDataFrame([("a", body)], "id string, body string"), "id", "body", MEMBERS)
+    assert {r["ordinals"]: r["subtype"] for r in routed(nodes).collect()} == {"0": "str", "1": "object", "2": "num", "3": "list", "5": "bool", "6": "object"}
+    typed = {r["ordinals"]: r["text"] for r in subtype(nodes, "claims", "text string", lone="text").collect()}
+    assert typed == {"0": "bare", "1": "t", "6": "in a text"}
+    assert {r["ordinals"] for r in subtype(nodes, "claims", "text string").collect()} == {"1", "6"}
+    assert {(r["ordinals"], r["payload"]) for r in rest(nodes, "claims", "object", "str").collect()} == {("2", "3"), ("3", '[1, "x"]'), ("5", "true")}
+
+
+def test_every_child_is_in_one_typed_table(spark, sf):
+    from tessera.plans import p6
+
+    every = {(r["record_key"], r["child_path"], r["ordinals"]) for r in p6.found(spark, sf).collect()}
+    tables = {"required_claims": p6.claims, "required_claims.evidence": p6.evidence, "source_reviews": p6.reviews, "fulltext": p6.texts, "fulltext.sections": p6.sections, "fulltext.sections.paragraphs": p6.paragraphs}
+    typed = {(r["record_key"], path, r["ordinals"]) for path, query in tables.items() for r in query(spark, sf).collect()}
+    assert typed <= every and len(every - typed) == sum(r["children"] for r in p6.others(spark, sf).collect())
