@@ -185,7 +185,8 @@ def mixture(documents: DataFrame, targets: DataFrame, *, id: str = "doc_id", tex
     names = sorted(wanted)
     spot = {d: k for k, d in enumerate(names)}
     n = len(names)
-    one_hot = F.coalesce(*(F.when(F.col("domain") == d, F.array(*(F.lit(float(j == k)) for j in range(n)))) for d, k in spot.items())) if names else F.lit(None).cast("array<double>")
+    place = F.create_map(*(F.lit(x) for d, k in spot.items() for x in (d, k)))[F.col("domain")] if names else F.lit(None).cast("int")
+    one_hot = F.when(place.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(max(n - 1, 0))), lambda k: (k == place).cast("double")))
     rows = sizes.where("domain IS NOT NULL").withColumn("p", one_hot)
     if names and sizes.where("domain IS NULL").limit(1).count():
         model = word_model(docs.select("domain", F.col(text).alias("text")), names)

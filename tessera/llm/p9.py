@@ -26,7 +26,7 @@ def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the classifier for unlabelled documents tells the sources of a held-out fifth of the documents."""
     docs = table(spark, sf_dir, "documents").where("source IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.col("source").alias("domain"), F.expr("pmod(xxhash64(doc_id), 5) = 0").alias("unseen"))
-    names = sorted(r[0] for r in docs.select("domain").distinct().limit(10_000).collect())
+    names = sorted(r[0] for r in docs.select("domain").distinct().collect())
     model = mixing.word_model(docs.where("NOT unseen"), names)
     got = mixing.posteriors(docs.where("unseen"), model, "doc_id", "text").join(docs.where("unseen").select("doc_id", "domain"), "doc_id")
     best = F.element_at(F.array(*map(F.lit, names)), F.array_position("p", F.array_max("p")).cast("int"))

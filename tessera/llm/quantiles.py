@@ -1,7 +1,8 @@
 """Percentiles of very large groups, from results kept per day, by multi-select.
 
 ``day_runs`` keeps, for each group, day and hash bucket of the row key, the
-sorted values with weights.  A run of more than 1 / (2 * error) values keeps
+sorted values with weights; a day has as many buckets as its rows need, so that
+none is large.  A run of more than 1 / (2 * error) values keeps
 every w-th of them with weight w = 2 * error * n, so that it may be wrong in
 rank by w / 2 <= error * n.  Runs of other days or files are simply unioned:
 ranks add up, and so do the bounds, which ``select`` reports as an absolute
@@ -20,21 +21,21 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.staging import Stage, sized
 
 RANK_ERROR = 0.0005
-#: Parts a group's day is split in, by the row key, so that a hot day is no one task's.
-BUCKETS = 8
+#: Values of a run, about: a group's day is split by the row key into as many as it needs, so that a hot day is no one task's.
+RUN_VALUES = 65_536
 #: Values of a block, about.
 BLOCK = 262_144
 #: When no target has more values left than these, they are put in order at once.
-REST = 64
+REST = 1024
 
 
-def day_runs(df: DataFrame, keys: Sequence[str], value: str, row_key: str, day: str, error: float = RANK_ERROR, buckets: int = BUCKETS) -> DataFrame:
+def day_runs(df: DataFrame, keys: Sequence[str], value: str, row_key: str, day: str, error: float = RANK_ERROR, run_values: int = RUN_VALUES) -> DataFrame:
     """(keys..., day, bucket, n, points: array<struct<v, w>>): the mergeable results of each day.
 
     Rows of null, NaN or infinite ``value`` and of null ``row_key`` are left out;
@@ -47,8 +48,13 @@ def day_runs(df: DataFrame, keys: Sequence[str], value: str, row_key: str, day:
     rows = df.where(number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf")) & F.col(row_key).isNotNull())
     inner = [f"_key{k}" for k in range(len(keys))]
     rows = rows.select(*(F.col(k).alias(i) for k, i in zip(keys, inner)), F.to_date(day).alias("day"), F.xxhash64(row_key).alias("h"), number.alias("v"))
-    rows = rows.withColumn("bucket", F.expr(f"pmod(h, {buckets})").cast("int"))
-    at = [*inner, "day", "bucket"]
+    day_of = [*inner, "day"]
+    large = rows.groupBy(*day_of).agg(F.count("*").alias("rows")).where(F.col("rows") > run_values).select(*day_of, F.ceil(F.col("rows") / run_values).cast("int").alias("buckets"))
+    large = Stage(df.sparkSession, "days").put(large)
+    known = sized(large, large.count())
+    split = rows.alias("r").join(known.alias("l"), [F.col(f"r.{k}").eqNullSafe(F.col(f"l.{k}")) for k in day_of], "left")
+    rows = split.select("r.*", F.pmod("h", F.coalesce("buckets", F.lit(1))).cast("int").alias("bucket"))
+    at = [*day_of, "bucket"]
     once = rows.repartition(*at).groupBy(*at, "h").agg(F.min("v").alias("v"))
     runs = once.groupBy(*at).agg(F.sort_array(F.collect_list("v")).alias("vs"))
     n = F.size("vs")
@@ -215,3 +221,13 @@ def select(runs: DataFrame, keys: Sequence[str], percentiles: Sequence[float], b
     part = at - F.floor(at)
     value = F.when(F.col("low") == F.col("high"), F.col("low_value")).otherwise(F.col("low_value") * (1 - part) + F.col("high_value") * part)
     return out.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), "n", "rank_error", "p", value.alias("value"))
+
+
+def keep_runs(runs: DataFrame, path: str) -> None:
+    """Writes runs to a folder with one part a day; the days of ``runs`` replace those that are there, others stay."""
+    runs.withColumn("_day", F.coalesce(F.col("day").cast("string"), F.lit("none"))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_day").parquet(path)
+
+
+def kept_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The runs of all days that a folder holds."""
+    return spark.read.parquet(path).drop("_day")

@@ -14,7 +14,7 @@ def table(spark, rows):
 
 
 def percentiles(df, **kw):
-    runs = day_runs(df, ["g", "h"], "v", "id", "at", **{k: v for k, v in kw.items() if k in ("error", "buckets")})
+    runs = day_runs(df, ["g", "h"], "v", "id", "at", **{k: v for k, v in kw.items() if k in ("error", "run_values")})
     rows = select(runs, ["g", "h"], PS, **{k: v for k, v in kw.items() if k == "block"}).collect()
     return {(r["g"], r["h"], r["p"]): r for r in rows}
 
@@ -28,7 +28,7 @@ def test_exact_like_numpy(spark):
         rows.append((g, rng.choice([1, None]), f"r{k}", v, dt.datetime(2025, 1, 1 + k % 20, 12), "x"))
     rows += rows[:200]
     rows += [("a", 1, f"bad{k}", v, dt.datetime(2025, 1, 1), "x") for k, v in enumerate([None, float("nan"), float("inf"), float("-inf")])]
-    got = percentiles(table(spark, rows), block=64, buckets=3)
+    got = percentiles(table(spark, rows), block=64, run_values=50)
     once = {r[2]: r for r in rows}
     groups = {}
     for g, h, _, v, *_ in once.values():
@@ -46,7 +46,7 @@ def test_bound_of_thinned_runs(spark):
     rng = random.Random(6)
     rows = [("a", 1, f"r{k}", rng.expovariate(1.0), dt.datetime(2025, 1, 1 + k % 4), "x") for k in range(8000)]
     vs = np.sort([r[3] for r in rows])
-    for r in percentiles(table(spark, rows), error=0.01, buckets=2).values():
+    for r in percentiles(table(spark, rows), error=0.01, run_values=1500).values():
         assert 0 < r["rank_error"] <= 0.02 * len(vs)
         at = r["p"] * (len(vs) - 1)
         low, high = np.searchsorted(vs, r["value"], "left"), np.searchsorted(vs, r["value"], "right")
