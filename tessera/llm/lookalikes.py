@@ -3,8 +3,10 @@
 Look-alike characters are mapped to one of them, characters that cannot be seen
 are taken out, and what is left is grouped in SQL under the accent-sensitive
 Unicode collation, in which a letter with a combining accent equals the
-composed letter.  The shortest text of a class, which is composed if any is, is its form, joined
-back to every member.  All of it is built-in expressions; hot classes are joined as one row a
+composed letter.  Signs that have a meaning of their own beside their look (a
+sharp s, an alpha) are mapped for the grouping alone and stay in the form.  The
+shortest text of a class, which is composed if any is, is its form, joined back
+to every member.  All of it is built-in expressions; hot classes are joined as one row a
 class on one side.
 """
 
@@ -25,6 +27,15 @@ LOOKALIKES = (
     ("∆µΩ", "ΔμΩ"),
 )
 
+# Letters that look like the letter below them in most types, but may be meant as they are.
+AMBIGUOUS = (
+    ("ßϐ", "ββ"),
+    ("αɑɡικρτυ", "aagikptu"),
+    ("кмтѵ", "kmtv"),
+    ("օսհոցզ", "ouhngq"),
+    ("ᎠᎡᎪᎬᎳᎶᎷᎻᏀᏂᏃᏒᏙᏚᏞᏟᏢᏤᏦᏴ", "DRAEWGMHGhZRVSLCPVKB"),
+)
+
 #: Characters that cannot be seen, as ranges of a character class.
 INVISIBLE = r"­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿"
 #: Kinds of blank, beyond the ASCII one.
@@ -67,11 +78,23 @@ def mapped(text: Column) -> Column:
     """``text`` with look-alikes mapped, blanks made one kind and what cannot be seen taken out."""
     seen, as_, several = character_map()
     out = F.regexp_replace(F.regexp_replace(text, f"[{INVISIBLE}]", ""), f"[{BLANKS}]", " ")
+    long = out
     for a, b in several:
-        out = F.replace(out, F.lit(a), F.lit(b))
+        long = F.replace(long, F.lit(a), F.lit(b))
+    out = F.when(out.rlike(f"[{''.join(a for a, _ in several)}]"), long).otherwise(out)
     return F.translate(out, seen, as_)
 
 
+def skeleton(form: Column) -> Column:
+    """What a mapped text looks like: signs that may be meant as they are mapped too."""
+    return F.translate(form, "".join(a for a, _ in AMBIGUOUS), "".join(b for _, b in AMBIGUOUS))
+
+
+def _plain(form: Column) -> Column:
+    """A hash of the part of a text that no accent touches; texts equal under the collation have the same."""
+    return F.xxhash64(F.regexp_replace(form, r"[^\x00-\x7f]\p{M}*|[\x00-\x7f]\p{M}+", ""))
+
+
 def one_form(df: DataFrame, field: str, text: str) -> DataFrame:
     """``df`` with ``canonical`` (the one form of its text) and ``variants`` (how many different texts have it).
 
@@ -83,12 +106,13 @@ def one_form(df: DataFrame, field: str, text: str) -> DataFrame:
     spark = df.sparkSession
     kept = df.drop("canonical", "variants")
     texts = kept.where(F.col(text).isNotNull()).select(F.col(field).alias("_field"), F.col(text).alias("_text")).distinct().withColumn("_mapped", mapped(F.col("_text")))
+    texts = texts.withColumn("_look", skeleton(F.col("_mapped"))).withColumn("_plain", _plain(F.col("_look")))
     forms = spark.sql(
         """
-        WITH texts AS (SELECT _field, _text, _mapped, collate(_mapped, 'UNICODE') AS alike FROM {texts}),
-        classes AS (SELECT _field, alike, min(struct(char_length(_mapped) AS n, _mapped AS form)).form AS canonical, count(*) AS variants FROM texts GROUP BY _field, alike)
+        WITH texts AS (SELECT _field, _plain, _text, _mapped, collate(_look, 'UNICODE') AS alike FROM {texts}),
+        classes AS (SELECT _field, _plain, alike, min(struct(char_length(_mapped) AS n, _mapped AS form)).form AS canonical, count(*) AS variants FROM texts GROUP BY _field, _plain, alike)
         SELECT texts._field, texts._text, classes.canonical, classes.variants
-        FROM texts JOIN classes ON texts._field <=> classes._field AND texts.alike = classes.alike
+        FROM texts JOIN classes ON texts._field <=> classes._field AND texts._plain = classes._plain AND texts.alike = classes.alike
         """,
         texts=texts,
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.lookalikes import character_map, one_form
+from tessera.llm.lookalikes import AMBIGUOUS, character_map, one_form
 from tessera.session import table
 
 
@@ -37,7 +37,8 @@ def _sql_mapped(column: str) -> str:
     for a, b in _SEVERAL:
         out = f"replace({out}, '{a}', '{b}')"
     quote = lambda s: s.replace("'", "''")
-    return f"nfc_normalize(translate({out}, '{quote(_FROM)}', '{quote(_TO)}'))"
+    seen, alike = ("".join(x[k] for x in AMBIGUOUS) for k in (0, 1))
+    return f"nfc_normalize(translate(translate({out}, '{quote(_FROM)}', '{quote(_TO)}'), '{seen}', '{alike}'))"
 
 
 QUERIES = {"p3_found": found, "p3_forms": forms}
