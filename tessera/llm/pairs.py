@@ -26,6 +26,7 @@ FILLERS = frozenset("na none null nil nan tbd todo tba xxx unknown notapplicable
 _INVISIBLE = re.compile(r"[­​-‏⁠-⁤﻿]")
 _FENCE = re.compile(r"^```[^\n`]*\n?")
 _TOKEN = re.compile(r"[㐀-鿿豈-﫿]|[^\W_㐀-鿿豈-﫿]+")
+_LETTER = re.compile(r"[^\W\d_]")
 _HAN = re.compile(r"[㐀-鿿豈-﫿]")
 _END = re.compile(r"[.!?。！？…．؟][\s\"'”’»›」』)\]）】}*_`]*$")
 _SAID = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|»[^«]*«|「[^」]*」|『[^』]*』|《[^》]*》|\"[^\"]*\"|\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]|【[^【】]*】|`[^`]*`")
@@ -56,16 +57,30 @@ REFUSALS = re.compile(
     re.IGNORECASE | re.VERBOSE,
 )
 
-#: Frequent small words, by language; a text's language is that of most of them.
+#: Scripts that tell a language, or a family, by themselves.
+SCRIPTS = {
+    "cyrillic": "Ѐ-ӿ", "greek": "Ͱ-Ͽἀ-῿", "arabic": "؀-ۿ", "hebrew": "֐-׿", "devanagari": "ऀ-ॿ", "thai": "฀-๿", "hangul": "가-힣ᄀ-ᇿ", "kana": "぀-ヿ",
+}
+_SCRIPTS = {name: re.compile(f"[{chars}]") for name, chars in SCRIPTS.items()}
+
+#: Frequent small words, by language; a text's language is that of most of them.  Of the last four, only words that the others do not have.
 SMALL_WORDS = {
     "en": frozenset("a the of and in to is was were with by at for from that this not but no nor neither it its as on after before than under only had has have does do which whether when while between during whereas could any be been are or an so".split()),
     "de": frozenset("der die das und ist war wurde wurden mit von im in den dem des ein eine einer einem einen nicht auf für zu bei nach unter durch dass ob kein keine hat haben wir sich als auch nur aber oder jedoch zwar noch weder während ohne dadurch schon es werden wird".split()),
     "es": frozenset("el la los las de del y en que se no con por para un una es fue al lo su sus como más ni sin pero entre hasta desde si sobre tras antes después vimos medimos o ha han está esta este son cuando donde también a".split()),
+    "fr": frozenset("le les des du et est une dans pour pas avec qui ne sont ont été cette ces aux mais nous je il elle sur dont ainsi très où être".split()),
+    "it": frozenset("il gli della delle di che è non sono nel nella alla dei degli questo questa stato anche più dopo perché".split()),
+    "pt": frozenset("não uma dos das ao é são com em os pela pelo foram também após mas seu sua isso mais".split()),
+    "nl": frozenset("het een van niet zijn voor met bij ook maar werd wordt deze dat naar geen heeft wij ik".split()),
 }
 
 
 def language(text: str) -> str | None:
-    """zh, en, de, es or, where the text says too little, null."""
+    """The language or script of a text; null where it says too little."""
+    letters = len(_LETTER.findall(text)) if not text.isascii() else 0
+    for name, signs in _SCRIPTS.items() if letters else ():
+        if (n := len(signs.findall(text))) >= 4 and 2 * n >= letters:
+            return name
     han = len(_HAN.findall(text))
     words = [w for w in re.findall(r"[^\W\d_]+", _HAN.sub(" ", text).lower())]
     if han >= 4 and han >= 1.2 * len(words):

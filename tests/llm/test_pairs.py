@@ -56,6 +56,12 @@ def test_language():
     assert [language(x) for x in ("The wording matches the passage and its limits.", "Die Richtung stimmt überein, das Modell jedoch nicht.", "La dirección coincide, pero el modelo es distinto.", "仅部分支持：剂量相符，时间窗不符。", "OPA1")] == ["en", "de", "es", "zh", None]
 
 
+def test_more_languages_and_scripts():
+    texts = {"fr": "Les données ne sont pas suffisantes pour cette conclusion.", "it": "Gli autori non sono certi della direzione del cambiamento.", "pt": "A direção não é a mesma e os dados são insuficientes.", "nl": "De richting is niet juist en het model wordt niet genoemd.", "cyrillic": "Вывод не подтверждается данными опыта.", "kana": "この結果は仮説を支持していません。", "hangul": "이 결과는 가설을 뒷받침하지 않습니다.", "arabic": "النتائج لا تدعم هذا الادعاء."}
+    assert {k: language(t) for k, t in texts.items()} == {k: k for k in texts}
+    assert all(defects(PROMPT, t) == ["other_language"] for t in texts.values())
+
+
 def test_table(spark):
     rows = [("a", PROMPT, GOOD, 1), ("b", PROMPT, None, 2), ("b", PROMPT, None, 3), (None, PROMPT, None, 4), ("c", None, "{", 5)]
     df = spark.createDataFrame(rows, "id string, prompt string, answer string, defects int")
