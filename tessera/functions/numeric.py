@@ -30,3 +30,12 @@ def wilson(successes: Column, total: Column) -> Column:
 def close(a: Column, b: Column, tolerance: float = 1e-9) -> Column:
     """Whether two numbers are equal up to a relative or absolute tolerance."""
     return F.abs(a - b) <= F.greatest(tolerance * F.greatest(F.abs(a), F.abs(b)), F.lit(tolerance))
+
+
+def half_even(x: Column, digits: int) -> Column:
+    """A number rounded to digits, a tie of its decimal form to the even neighbour."""
+    return F.bround(x, digits)
+
+
+# The digits that costs, rewards and means are kept to.
+DIGITS = {"cost": 8, "reward": 6, "mean": 2}

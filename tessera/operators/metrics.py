@@ -54,6 +54,29 @@ def answer_requests(requests: DataFrame, metrics: DataFrame, keys: Sequence[str]
     return joined.select(*requests.columns, F.coalesce("status", F.lit("unavailable_in_authorized_snapshot")).alias("status"), value.alias("value"), "n_rows", "n_units")
 
 
+def evidence_rows(requests: DataFrame, rows: DataFrame, keys: Sequence[str], id: str, row_id: str = "row_id", *columns: str) -> DataFrame:
+    """(id, row_id, columns...): the rows that each request's value is made of, one row each."""
+    asked = requests.select(F.col(id).alias("_id"), *(F.col(k).alias(f"_{k}") for k in keys))
+    return asked.join(rows, [F.col(f"_{k}") == F.col(k) for k in keys]).select(F.col("_id").alias(id), row_id, *columns)
+
+
+def unit_values(evidence: DataFrame, id: str, unit: str = "islet_id", value: str = "value") -> DataFrame:
+    """(id, unit, value, rows): the median of each analysis unit behind a request's value."""
+    good = evidence.where(finite(F.col(value)) & (F.trim(F.col(unit)) != ""))
+    return good.groupBy(id, unit).agg(F.median(value).alias("value"), F.count("*").alias("rows"))
+
+
+def evidence_summary(evidence: DataFrame, id: str, row_id: str = "row_id", source: str = "source_row_sha256", unit: str = "islet_id", inner: str = "dish_id") -> DataFrame:
+    """(id, n_images, n_islets, n_dishes, n_mice, first_row, last_row, snapshot): counts and a fingerprint of each request's rows.
+
+    n_mice is always null: rows say nothing of animals.  The fingerprint is the
+    sum of hashes of (row, source), the same in any order, so no group is gathered.
+    """
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", row_id, source).cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    named = lambda c: F.count_distinct(F.when(F.trim(F.col(c)) != "", F.col(c)))
+    return evidence.groupBy(id).agg(F.count("*").alias("n_images"), named(unit).alias("n_islets"), named(inner).alias("n_dishes"), F.first(F.lit(None).cast("long")).alias("n_mice"), F.min(row_id).alias("first_row"), F.max(row_id).alias("last_row"), F.sum(h).cast("string").alias("snapshot"))
+
+
 def catalog(rows: DataFrame, *columns: str) -> DataFrame:
     """The distinct tuples of the columns that rows have."""
     return rows.select(*columns).distinct()

@@ -1,8 +1,9 @@
 """Group-relative and paired rewards, on long rows (pair, side, i, reward).
 
-Sides of a pair meet in an equi-join on the pair, so the cross-side utilities
-of a pair cost the product of its two group sizes and no more; sums that need
-no pairing are window or aggregate expressions.
+Draws of the other sides never meet one by one: the mean of the lesser of a
+reward and each of theirs follows from how many of them are not above it and
+what these sum to, which two running sums in the order of the rewards give.  A
+pair costs n log n of its draws.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.numeric import finite, ratio
+
 
 def utility(a: Column, b: Column, eta: float) -> Column:
     """The mean of two rewards, drawn towards the lesser one by ``eta``."""
@@ -31,11 +34,26 @@ def standardised(rows: DataFrame, group: Sequence[str], reward: str, out: str =
     return rows.withColumn(out, (F.col(reward) - F.avg(reward).over(w)) / (F.stddev_pop(reward).over(w) + epsilon))
 
 
+def _unit(value: float, name: str) -> None:
+    if not 0 <= value <= 1:
+        raise ValueError(f"{name} must lie between 0 and 1")
+
+
 def conditional_utilities(rows: DataFrame, eta: float, pair: str = "pair", side: str = "side", i: str = "i", reward: str = "reward") -> DataFrame:
-    """(pair, side, i, reward, q): q is the mean utility of a draw with every draw of the other side."""
-    a = rows.select(pair, side, i, reward)
-    b = rows.select(F.col(pair), F.col(side).alias("_side"), F.col(reward).alias("_reward"))
-    return a.join(b, pair).where(F.col(side) != F.col("_side")).groupBy(pair, side, i, reward).agg(F.avg(utility(F.col(reward), F.col("_reward"), eta)).alias("q"))
+    """(pair, side, i, reward, q): q is the mean utility of a draw with every draw of the other sides.
+
+    Draws without a draw of another side are left out.  ``eta`` lies between 0 and 1.
+    """
+    _unit(eta, "eta")
+    whole, own = Window.partitionBy(pair), Window.partitionBy(pair, side)
+    upto = lambda w: w.orderBy(reward).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    others = lambda f: f(whole) - f(own)
+    n, total = others(lambda w: F.count(reward).over(w)), others(lambda w: F.sum(reward).over(w))
+    below, sum_below = others(lambda w: F.count(reward).over(upto(w))), others(lambda w: F.sum(reward).over(upto(w)))
+    out = rows.where(F.col(reward).isNotNull()).select(pair, side, i, reward, n.alias("_n"), total.alias("_total"), below.alias("_below"), sum_below.alias("_sum"))
+    lesser = F.col("_sum") + F.col(reward) * (F.col("_n") - F.col("_below"))
+    q = (1 - eta) * (F.col(reward) + F.col("_total") / F.col("_n")) / 2 + eta * lesser / F.col("_n")
+    return out.where("_n > 0").select(pair, side, i, reward, q.alias("q"))
 
 
 def paired_advantages(rows: DataFrame, eta: float, pair: str = "pair", side: str = "side", i: str = "i", reward: str = "reward") -> DataFrame:
@@ -49,28 +67,54 @@ def paired_advantages(rows: DataFrame, eta: float, pair: str = "pair", side: str
 
 def joint_utility(rows: DataFrame, eta: float, pair: str = "pair", side: str = "side", reward: str = "reward") -> DataFrame:
     """(pair, joint_utility, draws, operations) over all combinations of the two sides of a pair."""
-    a = rows.groupBy(pair).agg(F.min(side).alias("_first"))
-    left = rows.join(a, pair).where(F.col(side) == F.col("_first")).select(pair, F.col(reward).alias("x"))
-    right = rows.join(a, pair).where(F.col(side) != F.col("_first")).select(pair, F.col(reward).alias("y"))
-    sizes = rows.groupBy(pair).agg(F.count("*").alias("draws"))
-    return left.join(right, pair).groupBy(pair).agg(F.avg(utility(F.col("x"), F.col("y"), eta)).alias("joint_utility"), F.count("*").alias("operations")).join(sizes, pair)
+    q = conditional_utilities(rows.withColumn("_i", F.lit(0)), eta, pair, side, "_i", reward)
+    first = F.col(side) == F.min(side).over(Window.partitionBy(pair))
+    per = q.withColumn("_first", first).groupBy(pair).agg(F.avg(F.when(F.col("_first"), F.col("q"))).alias("joint_utility"), F.count("*").alias("draws"), (F.count_if("_first") * F.count_if(~F.col("_first"))).alias("operations"))
+    return per.select(pair, "joint_utility", "operations", "draws")
+
+
+def unequal_sides(rows: DataFrame, pair: str = "pair", side: str = "side") -> DataFrame:
+    """(pair, sides, least, most): pairs that paired advantages are not defined for: not two sides, or not equally many draws, two at least."""
+    per = rows.groupBy(pair, side).agg(F.count("*").alias("_n")).groupBy(pair).agg(F.count("*").alias("sides"), F.min("_n").alias("least"), F.max("_n").alias("most"))
+    return per.where("sides <> 2 OR least <> most OR least < 2")
 
 
 def clipped(ratio: Column, advantage: Column, epsilon: float = 0.2) -> Column:
     """The lesser of the ratio's and the clipped ratio's product with the advantage."""
+    if not 0 < epsilon < 1:
+        raise ValueError("epsilon must lie between 0 and 1")
     return F.least(ratio * advantage, F.least(F.greatest(ratio, F.lit(1 - epsilon)), F.lit(1 + epsilon)) * advantage)
 
 
 def token_loss(new: Column, old: Column, reference: Column, advantage: Column, epsilon: float = 0.2, beta: float = 0.04) -> Column:
     """The loss of one policy token: clipped surrogate and the sampled divergence from the reference."""
+    if beta < 0:
+        raise ValueError("beta must not be negative")
     d = reference - new
     return -clipped(F.exp(new - old), advantage, epsilon) + beta * (F.expm1(d) - d)
 
 
-def episode_loss(tokens: DataFrame, episode: str, mask: str, loss: Column, draws: Column) -> DataFrame:
-    """(loss): the mean over masked tokens of an episode, then over all draws, those without a loss included."""
-    each = tokens.where(F.col(mask) == 1).groupBy(episode).agg(F.avg(loss).alias("_loss"))
-    return each.agg((F.sum("_loss") / draws).alias("loss"))
+def token_fault(new: Column, old: Column, reference: Column, most: float = 60.0) -> Column:
+    """Why a policy token has no loss: not_finite (null included), or unstable where a log ratio is beyond ``most``; null for a sound one."""
+    sound = finite(new) & finite(old) & finite(reference)
+    return F.when(~F.coalesce(sound, F.lit(False)), "not_finite").when((F.abs(new - old) > most) | (F.abs(reference - new) > most), "unstable")
+
+
+def loss_faults(tokens: DataFrame, episode: str, mask: str, fault: Column) -> DataFrame:
+    """(episode, fault, tokens): episodes whose loss is to be refused, with how many of their policy tokens say so.
+
+    ``empty_mask`` is an episode without a policy token, ``mask`` one with a mask other than 0 and 1.
+    """
+    per = tokens.select(episode, F.when(~F.coalesce(F.col(mask).isin(0, 1), F.lit(False)), "mask").when(F.col(mask) == 1, fault).alias("fault"), (F.coalesce(F.col(mask), F.lit(0)) == 1).alias("_on"))
+    bad = per.where("fault IS NOT NULL").groupBy(episode, "fault").agg(F.count("*").alias("tokens"))
+    none = per.groupBy(episode).agg(F.bool_or("_on").alias("_any")).where("NOT _any").select(episode, F.lit("empty_mask").alias("fault"), F.lit(0).cast("long").alias("tokens"))
+    return bad.unionByName(none)
+
+
+def episode_loss(tokens: DataFrame, episode: str, mask: str, loss: Column) -> DataFrame:
+    """(episodes, loss): the mean over masked tokens of an episode, then over all episodes, those without a loss included."""
+    each = tokens.groupBy(episode).agg(F.avg(F.when(F.col(mask) == 1, loss)).alias("_loss"))
+    return each.agg(F.count("*").alias("episodes"), ratio(F.sum("_loss"), F.count("*")).alias("loss"))
 
 
 def trailing_mean(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, n: int = 25, out: str = "trailing_mean") -> DataFrame:
