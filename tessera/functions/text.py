@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Patterns that results must agree on.
 #: Credentials, as a key name with a value or a token of a known form.
 SECRET = r"(?i)sk-[A-Za-z0-9_-]{16,}|Bearer\s+[A-Za-z0-9._-]{16,}|(?:api[_ -]?key|access[_ -]?token|password)\s*[:=]\s*\S+"
 #: Absolute paths of a machine.
-ABSOLUTE_PATH = r"/(?:home|storage|mnt)/|(?<![A-Za-z0-9])[A-Za-z]:[/\\]"
+ABSOLUTE_PATH = r"/(?:home|storage|mnt)/|(?:^|[^A-Za-z0-9])[A-Za-z]:[/\\]"
 #: Claims about all literature or about what was never measured.
 OVERCLAIM = r"(?i)全(?:部|体)文献.*(?:没有|不存在)|实验(?:从未|未曾|没有|未)测|never measured|no evidence anywhere|all literature"
 
-_WORD = r"[\p{L}\p{N}_-]{3,}"
+#: The marks that end a sentence, and the sentence up to them.
 _END = ".!?。！？"
+_SENTENCE = f"[^{_END}]+(?:[{_END}]+|$)"
+
+_WORD = r"[\p{L}\p{N}_-]{3,}"
 
 
 def word_set(text: Column, pattern: str = _WORD) -> Column:
@@ -42,7 +46,7 @@ def statements(text: Column) -> Column:
     A sentence runs to its closing marks, or to the end of the text; blanks at
     its head are not part of it, and one of blanks alone is none.
     """
-    pieces = F.regexp_extract_all(text, F.lit(f"[^{_END}]+(?:[{_END}]+|$)"), F.lit(0))
+    pieces = F.regexp_extract_all(text, F.lit(_SENTENCE), F.lit(0))
     lead = F.length(F.regexp_extract(text, f"^[{_END}]*", 0))
     begin = F.struct(lead.cast("int").alias("at"), F.array().cast("array<struct<char_start:int,char_end:int,text:string>>").alias("spans"))
 
@@ -103,9 +107,21 @@ def short_id(prefix: str, *columns: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(canonical_hash(*columns), 1, 24))
 
 
-def leaf_text(*columns: Column) -> Column:
-    """The leaf values of columns (strings or arrays of strings), nulls skipped, joined by blanks."""
-    return F.concat_ws(" ", *columns)
+def leaves(value: Column, of: T.DataType) -> Column:
+    """The leaf values of a column of any nesting as an array of texts: null ones skipped, booleans as true and false, names of members ignored."""
+    none = F.array().cast("array<string>")
+    if isinstance(of, T.StructType):
+        return F.concat(*(leaves(value[f.name], f.dataType) for f in of.fields)) if of.fields else none
+    if isinstance(of, T.ArrayType):
+        return F.coalesce(F.flatten(F.transform(value, lambda x: leaves(x, of.elementType))), none)
+    if isinstance(of, T.MapType):
+        return F.coalesce(F.flatten(F.transform(F.map_values(value), lambda x: leaves(x, of.valueType))), none)
+    return F.array_compact(F.array(value.cast("string")))
+
+
+def record_text(df: DataFrame, *columns: str) -> Column:
+    """All leaf values of the columns (of all, if none are named) joined by blanks."""
+    return F.array_join(F.concat(*(leaves(F.col(c), df.schema[c].dataType) for c in columns or df.columns)), " ")
 
 
 def with_aliases(text: Column, aliases: dict[str, str]) -> Column:

@@ -23,3 +23,9 @@ def casefold(text: pd.Series) -> pd.Series:
 def nfkc(text: pd.Series) -> pd.Series:
     """The compatibility composition of a text."""
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def search_form(text: pd.Series) -> pd.Series:
+    """The case-folded compatibility composition, which texts and queries are searched in."""
+    return text.map(lambda t: unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,9 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.numbering import numbered
 from tessera.functions.numeric import ratio, wilson
 from tessera.functions.staging import sized
-
-# The labels of evidence support, the first of them support and the second none.
-SUPPORT_LABELS = ("supported", "insufficient", "contradicted", "mixed")
+from tessera.operators.validation import SUPPORT_LABELS, strict_json
 
 
 def success_summary(rows: DataFrame, by: Sequence[str] = (), task: str = "task_id", success: str = "success") -> DataFrame:
@@ -74,42 +73,112 @@ def class_scores(rows: DataFrame, truth: str, predicted: str, labels: Sequence[s
 
 
 def overall_scores(rows: DataFrame, truth: str, predicted: str, labels: Sequence[str] = SUPPORT_LABELS, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., n, accuracy, macro_f1_observed, macro_f1_all, false_support_rate, withheld_rate, invalid): one row."""
+    """(by..., n, accuracy, macro_f1_observed, macro_f1_all, unrepresented, false_support, false_support_rate, withheld, withheld_rate, invalid): one row a group.
+
+    unrepresented are the labels that no truth has, joined by commas.
+    """
     scores = class_scores(rows, truth, predicted, labels, by)
-    macro = scores.groupBy(*by).agg(F.avg(F.when(F.col("support") > 0, F.col("f1"))).alias("macro_f1_observed"), F.avg("f1").alias("macro_f1_all"))
+    macro = scores.groupBy(*by).agg(F.avg(F.when(F.col("support") > 0, F.col("f1"))).alias("macro_f1_observed"), F.avg("f1").alias("macro_f1_all"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("support") == 0, F.col("label")))), ",").alias("unrepresented"))
     t, p = F.col(truth), F.coalesce(F.col(predicted), F.lit("invalid"))
     yes, none = labels[0], labels[1]
     plain = rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg((t == p).cast("double")).alias("accuracy"),
-        ratio(F.count_if((t != yes) & (p == yes)), F.count_if(t != yes)).alias("false_support_rate"),
-        ratio(F.count_if((t == yes) & (p == none)), F.count_if(t == yes)).alias("withheld_rate"),
+        F.count_if((t != yes) & (p == yes)).alias("false_support"), ratio(F.count_if((t != yes) & (p == yes)), F.count_if(t != yes)).alias("false_support_rate"),
+        F.count_if((t == yes) & (p == none)).alias("withheld"), ratio(F.count_if((t == yes) & (p == none)), F.count_if(t == yes)).alias("withheld_rate"),
         F.count_if(~p.isin(*labels)).alias("invalid"),
     )
     return plain.join(macro, list(by)) if by else plain.crossJoin(F.broadcast(macro))
 
 
-def field_scores(rows: DataFrame, id: str, target: Column, predicted: Column, valid: Column, closed: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """(field, evaluated, not_applicable, missed, accuracy, macro_f1): agreement of label maps, field by field.
+# ---- predictions ----
+
+
+def class_key(value: Column) -> Column:
+    """A VARIANT scalar as JSON text, so that "1" and 1 differ; null for null, objects and arrays."""
+    return F.when(~F.schema_of_variant(value).rlike("^(?:OBJECT|ARRAY|VOID)"), F.to_json(value))
+
+
+def parse_prediction(text: Column, labels: Sequence[str] = SUPPORT_LABELS, field: str = "evidence_support") -> Column:
+    """struct<json_valid, label_schema_valid, labels: map<string, string>, error> of a model's answer.
+
+    labels has the JSON text of each label and is empty if the schema does not
+    hold: an object ``labels`` whose ``field`` is one of the labels.  error is
+    json or labels, null where both hold.
+    """
+    value = strict_json(text)
+    held = F.try_variant_get(value, "$.labels", "map<string, variant>")
+    fits = F.coalesce(F.try_variant_get(value, f"$.labels.{field}", "string").isin(*labels) & ~F.coalesce(F.array_contains(F.map_keys(held), ""), F.lit(True)), F.lit(False))
+    texts = F.transform_values(held, lambda _, v: F.to_json(v))
+    none = F.create_map().cast("map<string,string>")
+    read = value.isNotNull()
+    return F.struct(read.alias("json_valid"), fits.alias("label_schema_valid"), F.when(fits, texts).otherwise(none).alias("labels"), F.when(~read, "json").when(~fits, "labels").alias("error"))
+
+
+def valid_rates(rows: DataFrame, prediction: str, truncated: Column, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., n, json_valid_rate, label_schema_valid_rate, truncated) of parsed predictions."""
+    p = F.col(prediction)
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(p["json_valid"].cast("double")).alias("json_valid_rate"), F.avg(p["label_schema_valid"].cast("double")).alias("label_schema_valid_rate"), F.count_if(truncated).alias("truncated"))
+
 
-    ``target`` and ``predicted`` are map<string, string> of scalar labels; a null
-    target is not applicable, an invalid or absent prediction counts as a miss.
-    Macro F1 runs over the labels that targets have; recall is 0 where undefined.
+def field_scores(rows: DataFrame, target: Column, predicted: Column, valid: Column, closed: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """(field, evaluated, not_applicable, non_scalar, missed, accuracy, macro_f1, absent_classes, macro_f1_all): agreement of label maps, field by field.
+
+    ``target`` and ``predicted`` are map<string, string> of JSON texts, as of
+    ``parse_prediction``.  A null or absent target is not applicable, an object
+    or array not scored; an invalid or absent prediction is a miss.  Macro F1
+    runs over the labels that targets have.  A field in ``closed`` also has the
+    labels that no target has, joined by commas, and the macro F1 over all of them.
+    """
+    scalar = lambda t: F.when(~t.rlike(r"^(?:null$|[\[{])"), t)
+    total = rows.agg(F.count("*").alias("_rows"))
+    long = rows.select(F.explode(target).alias("field", "_t"), predicted.alias("_p"), valid.alias("_v")).where("_t IS NOT NULL AND _t <> 'null'")
+    long = long.select("field", scalar(F.col("_t")).alias("truth"), F.when(F.col("_v"), scalar(F.try_element_at("_p", F.col("field")))).alias("guess"))
+    pairs = long.groupBy("field", "truth", "guess").count()
+    known = F.col("truth").isNotNull()
+    n = lambda test: F.coalesce(F.sum(F.when(test, F.col("count"))), F.lit(0)).cast("long")
+    plain = pairs.groupBy("field").agg(n(known).alias("evaluated"), n(~known).alias("non_scalar"), n(known & F.col("guess").isNull()).alias("missed"), n(F.col("truth") == F.col("guess")).alias("_hits"))
+    sides = pairs.where(known).select("field", "count", F.explode(F.array(F.struct(F.col("truth").alias("label"), F.lit(1).alias("t"), F.col("truth").eqNullSafe(F.col("guess")).alias("hit")), F.struct(F.col("guess").alias("label"), F.lit(0).alias("t"), F.lit(False).alias("hit")))).alias("x")).select("field", "count", "x.*").where("label IS NOT NULL")
+    per = sides.groupBy("field", "label").agg(n(F.col("t") == 1).alias("support"), n(F.col("hit")).alias("tp"), n(F.col("t") == 0).alias("said"))
+    per = per.withColumn("f1", F.coalesce(ratio(2 * F.col("tp"), F.col("support") + F.col("said")), F.lit(0.0)))
+    every = F.create_map(*(x for f, ls in (closed or {}).items() for x in (F.lit(f), F.array(*(F.lit(json.dumps(v)) for v in ls))))) if closed else F.lit(None).cast("map<string,array<string>>")
+    there = F.when(F.col("support") > 0, F.col("label"))
+    macro = per.withColumn("_all", every[F.col("field")]).groupBy("field").agg(
+        F.avg(F.when(F.col("support") > 0, F.col("f1"))).alias("macro_f1"), F.collect_set(there).alias("_there"), F.first("_all").alias("_all"),
+        F.sum(F.when(F.array_contains("_all", F.col("label")), F.col("f1"))).alias("_sum"),
+    )
+    absent = F.array_join(F.array_sort(F.transform(F.array_except("_all", "_there"), lambda x: F.regexp_replace(x, '^"|"$', ""))), ",")
+    out = plain.join(macro, "field", "left").crossJoin(F.broadcast(total))
+    return out.select("field", "evaluated", (F.col("_rows") - F.col("evaluated") - F.col("non_scalar")).alias("not_applicable"), "non_scalar", "missed", ratio(F.col("_hits"), F.col("evaluated")).alias("accuracy"), "macro_f1", absent.alias("absent_classes"), (F.col("_sum") / F.size("_all")).alias("macro_f1_all"))
+
+
+def predicted_distribution(rows: DataFrame, predicted: str, labels: Sequence[str] = SUPPORT_LABELS, invalid: str = "invalid") -> DataFrame:
+    """(prediction, n): how often each label was predicted, 0 included; what is no label is ``invalid``."""
+    every = rows.sparkSession.createDataFrame([(x,) for x in (*labels, invalid)], "prediction string")
+    counts = rows.groupBy(F.when(F.col(predicted).isin(*labels), F.col(predicted)).otherwise(invalid).alias("prediction")).agg(F.count("*").alias("n"))
+    return F.broadcast(every).join(counts, "prediction", "left").na.fill(0, ["n"])
+
+
+def cost_totals(rows: DataFrame, costs: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., one sum a cost): what episodes cost; nulls cost nothing, no episodes cost 0."""
+    return rows.groupBy(*by).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in costs.items()))
+
+
+def pair_faults(a: DataFrame, b: DataFrame, id: str, *fields: str) -> DataFrame:
+    """(id, fault): what forbids comparing two prediction tables: repeated ids, ids of one table alone, and fields that differ, by name.
+
+    Both tables must judge the same objects; nothing is silently left out.
     """
-    long = rows.select(F.col(id), F.explode(target).alias("field", "truth"), predicted.alias("_p"), valid.alias("_v"))
-    long = long.select("field", "truth", F.when(F.col("_v"), F.element_at("_p", F.col("field"))).alias("guess"))
-    plain = long.groupBy("field").agg(F.count("truth").alias("evaluated"), F.count_if(F.col("truth").isNull()).alias("not_applicable"), F.count_if(F.col("truth").isNotNull() & F.col("guess").isNull()).alias("missed"), F.avg(F.when(F.col("truth").isNotNull(), F.coalesce((F.col("truth") == F.col("guess")).cast("double"), F.lit(0.0)))).alias("accuracy"))
-    pairs = long.where("truth IS NOT NULL").groupBy("field", "truth", "guess").count()
-    true = pairs.groupBy("field", F.col("truth").alias("label")).agg(F.sum("count").alias("support"), F.sum(F.when(F.col("truth") == F.col("guess"), F.col("count")).otherwise(0)).alias("tp"))
-    said = pairs.where("guess IS NOT NULL").groupBy("field", F.col("guess").alias("label")).agg(F.sum("count").alias("said"))
-    per = true.join(said, ["field", "label"], "left").withColumn("f1", ratio(2 * F.col("tp"), F.col("support") + F.coalesce("said", F.lit(0))))
-    macro = per.groupBy("field").agg(F.avg("f1").alias("macro_f1"))
-    return plain.join(macro, "field", "left")
+    count = lambda t: t.groupBy(id).agg(F.count("*").alias("n"), F.first(F.struct(*fields)).alias("x"))
+    both = count(a).alias("a").join(count(b).alias("b"), id, "full")
+    named = [F.when(~F.col(f"a.x.{f}").eqNullSafe(F.col(f"b.x.{f}")), F.lit(f)) for f in fields]
+    faults = F.when(F.col("a.n").isNull(), F.array(F.lit("not_in_a"))).when(F.col("b.n").isNull(), F.array(F.lit("not_in_b"))).otherwise(F.array_compact(F.array(F.when((F.col("a.n") > 1) | (F.col("b.n") > 1), F.lit("repeated")), *named)))
+    return both.select(id, F.explode(faults).alias("fault"))
 
 
 def majority(rows: DataFrame, label: str, position: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., label, n): the most frequent label; of equals the one met first."""
+    """(by..., label, n): the most frequent label; of equals the one met first, by ``position``."""
     counts = rows.groupBy(*by, label).agg(F.count("*").alias("n"), F.min(position).alias("_first"))
-    best = F.max_by(F.struct(F.col(label).alias("label"), F.col("n")), F.struct(F.col("n"), -F.col("_first")))
+    best = F.min_by(F.struct(F.col(label).alias("label"), F.col("n")), F.struct(-F.col("n"), F.col("_first")))
     return counts.groupBy(*by).agg(best.alias("b")).select(*by, "b.*")
 
 
@@ -127,8 +196,12 @@ def length_report(rows: DataFrame, length: str, by: Sequence[str] = ()) -> DataF
 
 
 def _drawn(clusters: DataFrame, n: int, samples: int, seed: int) -> DataFrame:
-    """The rows of ``clusters`` (numbered by k) as drawn with replacement, n for each sample."""
-    slots = clusters.sparkSession.range(samples * n).select((F.col("id") / n).cast("long").alias("sample"), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n)).alias("k"))
+    """The rows of ``clusters`` (numbered by k) as drawn with replacement, n for each sample.
+
+    A draw is the MD5 of seed and slot, which any engine can repeat.
+    """
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary")), 1, 15)
+    slots = clusters.sparkSession.range(samples * n).select(F.floor(F.col("id") / n).alias("sample"), F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(n)).alias("k"))
     return slots.join(sized(clusters, n), "k")
 
 
@@ -179,13 +252,16 @@ def macro_f1_bootstrap(rows: DataFrame, cluster: str, truth: str, a: str, b: str
 
 
 def changed_after_feedback(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """``pairs`` with ``changed``: equal actions up to the first different observation, and different ones after it.
+    """``pairs`` with ``changed``: whether two episodes go different ways after, and only after, what they observed differs.
 
-    ``a`` and ``b`` are columns struct<actions: array, observations: array>.
+    ``a`` and ``b`` are columns struct<initial, success, actions: array, observations:
+    array>.  Both must succeed from the same initial state, act alike up to and at
+    the first different observation, and then go on, differently.
     """
     steps = F.sequence(F.lit(1), F.least(*(F.size(F.col(f"{x}.{y}")) for x in (a, b) for y in ("actions", "observations"))))
-    unlike = lambda what: F.array_min(F.filter(steps, lambda i: F.element_at(F.col(f"{a}.{what}"), i) != F.element_at(F.col(f"{b}.{what}"), i)))
+    unlike = lambda what: F.array_min(F.filter(steps, lambda i: (i > 0) & ~F.try_element_at(F.col(f"{a}.{what}"), i).eqNullSafe(F.try_element_at(F.col(f"{b}.{what}"), i))))
     fork, split_ = unlike("observations"), unlike("actions")
     rest = lambda x: F.slice(F.col(f"{x}.actions"), fork + 1, F.greatest(F.size(F.col(f"{x}.actions")) - fork, F.lit(0)))
     same_before = split_.isNull() | (split_ > fork)
-    return pairs.withColumn("changed", F.coalesce(fork.isNotNull() & same_before & (F.size(rest(a)) > 0) & (F.size(rest(b)) > 0) & (rest(a) != rest(b)), F.lit(False)))
+    began = (F.col(f"{a}.initial") == F.col(f"{b}.initial")) & F.col(f"{a}.success") & F.col(f"{b}.success")
+    return pairs.withColumn("changed", F.coalesce(began & fork.isNotNull() & same_before & (F.size(rest(a)) > 0) & (F.size(rest(b)) > 0) & (rest(a) != rest(b)), F.lit(False)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,7 +55,7 @@ def link_counts(rows: DataFrame, refs: Column, others: DataFrame, key: str) -> D
 
 
 def faceted(records: DataFrame, *, dataset: str | None = None, status: str | None = None, flagged: bool = False, preset: Column | None = None, query: str | None = None) -> DataFrame:
-    """The records that pass all the filters given; a query is looked for in search_text without letter case."""
+    """The records that pass all the filters given; a query is looked for in search_text, in the same form."""
     out = records
     if dataset:
         out = out.where(F.col("dataset") == dataset)
@@ -65,7 +66,7 @@ def faceted(records: DataFrame, *, dataset: str | None = None, status: str | Non
     if preset is not None:
         out = out.where(preset)
     if query and query.strip():
-        out = out.where(F.contains("search_text", F.lower(F.lit(query.strip()))))
+        out = out.where(F.contains("search_text", F.lit(unicodedata.normalize("NFKC", query.strip()).casefold())))
     return out
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -135,21 +135,81 @@ def first_failure(rules: Mapping[str, Column]) -> Column:
 
 
 def record_contract(split: Column) -> dict[str, Column]:
-    """What a conversation record must be, rule by rule, over prompt, completion and metadata."""
+    """What a conversation record must be, rule by rule, over prompt, completion and metadata; ``split`` is the split that it is read for."""
     said = lambda c: F.coalesce(F.forall(c, lambda m: F.coalesce(F.trim(m["content"]) != "", F.lit(False))), F.lit(False))
     return {
         "id": F.trim("id") != "",
         "task_id": F.trim("task_id") != "",
         "split": F.col("metadata.split") == split,
         "mode": F.coalesce(F.col("metadata.dataset_mode") != "raw_source_pending_label_transfer", F.lit(True)),
+        "summary_labels": F.coalesce(F.col("metadata.dataset_mode") != "expert_evidence_summary_conditioned", F.lit(True)) | F.coalesce(F.col("metadata.labels_from_exact_reviewed_original"), F.lit(False)),
         "prompt_roles": F.transform("prompt", lambda m: m["role"]) == F.array(F.lit("system"), F.lit("user")),
         "completion_role": (F.size("completion") == 1) & (F.get("completion", F.lit(0))["role"] == "assistant"),
         "content": said(F.col("prompt")) & said(F.col("completion")),
         "json": strict_json(F.get("completion", F.lit(0))["content"]).isNotNull(),
-        "label": F.get_json_object(F.get("completion", F.lit(0))["content"], "$.labels.evidence_support").isin("supported", "insufficient", "contradicted", "mixed"),
+        "label": F.get_json_object(F.get("completion", F.lit(0))["content"], "$.labels.evidence_support").isin(*SUPPORT_LABELS),
     }
 
 
+# The labels of evidence support, the first of them support and the second none.
+SUPPORT_LABELS = ("supported", "insufficient", "contradicted", "mixed")
+
+# The labels of each field of a verdict; those of the last three are lists of them.
+LABELS = {
+    "evidence_support": ("supported", "contradicted", "insufficient", "mixed"),
+    "context_match": ("matched", "partially_matched", "requires_extrapolation", "mismatched", "unknown"),
+    "target_causal_status": ("not_established", "candidate_supported", "established", "not_applicable", "unknown"),
+    "uncertainty_expression": ("appropriate", "overconfident", "underconfident", "unstated"),
+    "severity": ("none", "minor", "major", "critical"),
+    "causal_evidence_in_source_study": ("observational_association", "temporal_order", "intervention", "mediation_test", "rescue_experiment", "none"),
+    "causal_evidence_in_target_experiment": ("observational_association", "temporal_order", "intervention", "mediation_test", "rescue_experiment", "none"),
+    "error_types": ("fabricated_source", "fabricated_result", "citation_mismatch", "direction_error", "context_mismatch", "measurement_mismatch", "causal_overclaim", "ignored_counterevidence", "inappropriate_stop", "unacknowledged_context_extrapolation", "other"),
+}
+LISTS = ("causal_evidence_in_source_study", "causal_evidence_in_target_experiment", "error_types")
+
+
+def label_states(labels: Column, contract: Mapping[str, Sequence[str]] = LABELS, lists: Sequence[str] = LISTS) -> Column:
+    """array<struct<field, state>> of a VARIANT object of labels: ok, absent (null included) or outside the contract, for each field."""
+
+    def one(field: str) -> Column:
+        value = F.try_variant_get(labels, f"$.{field}", "variant")
+        kind = F.schema_of_variant(value)
+        if field in lists:
+            items = F.try_variant_get(value, "$", "array<string>")
+            fits = kind.startswith("ARRAY") & F.forall(items, lambda x: F.coalesce(x.isin(*contract[field]), F.lit(False)))
+        else:
+            fits = (kind == "STRING") & F.try_variant_get(value, "$", "string").isin(*contract[field])
+        return F.struct(F.lit(field).alias("field"), F.when(value.isNull() | (kind == "VOID"), "absent").when(F.coalesce(fits, F.lit(False)), "ok").otherwise("outside").alias("state"))
+
+    return F.array(*map(one, contract))
+
+
+def demonstration_faults(rows: DataFrame, steps: DataFrame, trace: str = "reference_trace_id", step: str = "trace_step_index", same: Sequence[str] = (), digest: str = "digest", messages: str = "messages", id: str = "id") -> DataFrame:
+    """(id, faults): demonstrations that are not bound to a reference step, with all that is wrong, by name.
+
+    A demonstration names a trace and step; ``steps`` has one row of each that
+    was replayed, with the columns ``same`` and ``digest``.  no_reference: none
+    is there.  repeated_step: another id has the same.  A column's name: it
+    differs.  digest: other messages.  messages: less than two, or the first is
+    not the system's or user's, or the last not the assistant's, or a later one
+    is the system's.
+    """
+    known = steps.select(F.col(trace).alias("_t"), F.col(step).alias("_s"), *(F.col(c).alias(f"_{c}") for c in (*same, digest)), F.lit(True).alias("_known"))
+    owners = rows.where(F.col(trace).isNotNull()).groupBy(trace, step).agg(F.count_distinct(id).alias("_owners")).toDF("_t2", "_s2", "_owners")
+    joined = rows.join(known, (F.col(trace) == F.col("_t")) & (F.col(step) == F.col("_s")), "left").join(owners, (F.col(trace) == F.col("_t2")) & (F.col(step) == F.col("_s2")), "left")
+    at = lambda i: F.try_element_at(messages, F.lit(i))["role"]
+    sound = (F.size(messages) >= 2) & at(1).isin("system", "user") & (at(-1) == "assistant") & ~F.exists(F.slice(messages, 2, F.greatest(F.size(messages), F.lit(1))), lambda m: F.coalesce(m["role"] == "system", F.lit(False)))
+    there = F.col("_known").isNotNull()
+    tests = [("no_reference", ~there), ("repeated_step", F.col("_owners") > 1)] + [(c, there & ~F.col(c).eqNullSafe(F.col(f"_{c}"))) for c in (*same, digest)] + [("messages", ~F.coalesce(sound, F.lit(False)))]
+    return joined.select(id, F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in tests))).alias("faults")).where(F.size("faults") > 0)
+
+
+def gap_ranges(rows: DataFrame, group: str, number: str) -> DataFrame:
+    """(group, first, last): the runs of numbers from 0 up to a group's largest that it has not; a large gap is one row."""
+    before = F.lag(number, 1, -1).over(Window.partitionBy(group).orderBy(number))
+    return rows.select(group, number).where(F.col(number) >= 0).distinct().withColumn("_before", before).where(F.col(number) > F.col("_before") + 1).select(group, (F.col("_before") + 1).alias("first"), (F.col(number) - 1).alias("last"))
+
+
 def multiset_difference(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     """(keys..., in_a, in_b): keys that two tables have not equally often."""
     both = a.select(*keys, F.lit(1).alias("_a"), F.lit(0).alias("_b")).union(b.select(*keys, F.lit(0), F.lit(1)))

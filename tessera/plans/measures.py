@@ -126,7 +126,7 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paired_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rewards.paired_advantages(draws(spark, sf_dir), 0.5)
     # a hair is added, so that ties of the last digit fall the same way whatever the order of a sum
-    return _rounded(out.withColumn("advantage", F.col("advantage") + 3e-14), "reward", "q", "advantage", digits=12)
+    return _rounded(_rounded(out.withColumn("advantage", F.col("advantage") + 3e-14), "reward", "q", digits=12), "advantage", digits=9)
 
 
 def loo_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +262,7 @@ SELECT fault, count(*) AS orders, CAST(sum(n) AS BIGINT) AS tokens FROM (SELECT
     "f2_row_hashes": """SELECT DISTINCT id, sha256('{"group_id":' || to_json(group_id) || ',"id":' || to_json(id) || ',"question":' || to_json(question) || ',"split":' || coalesce(CAST(to_json(split) AS VARCHAR), 'null') || '}') AS hash,
 'pair-' || left(sha256('{"pair_id":' || coalesce(CAST(to_json(pair_id) AS VARCHAR), 'null') || ',"side":' || to_json(side) || '}'), 24) AS short_id FROM tasks""",
     "r1_r2_conditional_utilities": f"SELECT pair, side, i, round(reward, 12) + 0.0 AS reward, round(q, 12) + 0.0 AS q FROM {_Q.format(eta=0.25)}",
-    "r3_paired_advantages": f"SELECT pair, side, i, round(reward, 12) + 0.0 AS reward, round(q, 12) + 0.0 AS q, round(2 * (q - (sum(q) OVER w - q) / (count(*) OVER w - 1)) + 3e-14, 12) + 0.0 AS advantage FROM {_Q.format(eta=0.5)} WINDOW w AS (PARTITION BY pair, side)",
+    "r3_paired_advantages": f"SELECT pair, side, i, round(reward, 12) + 0.0 AS reward, round(q, 12) + 0.0 AS q, round(2 * (q - (sum(q) OVER w - q) / (count(*) OVER w - 1)) + 3e-14, 9) + 0.0 AS advantage FROM {_Q.format(eta=0.5)} WINDOW w AS (PARTITION BY pair, side)",
     "r4_joint_utility": f"SELECT a.pair, round(avg(0.5 * (a.reward + b.reward) / 2 + 0.5 * least(a.reward, b.reward)), 9) + 0.0 AS joint_utility, count(*) AS operations, any_value(n) AS draws FROM {_D} a JOIN {_D} b ON a.pair = b.pair AND a.side < b.side JOIN (SELECT pair, count(*) AS n FROM {_D} GROUP BY 1) s ON s.pair = a.pair GROUP BY a.pair",
     "r6_clipped_surrogate": "SELECT event_id, round(least(value / 50 * a, least(greatest(value / 50, 0.8), 1.2) * a), 6) AS surrogate FROM (SELECT event_id, value, CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE -1.0 END AS a FROM events)",
     "r7_token_loss": f"SELECT l_orderkey, round(avg({_LOSS}), 6) AS loss FROM {_TOKENS} WHERE mask = 1 GROUP BY 1",

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.functions.numbering import numbered
+from tessera.functions.unicode import search_form
 from tessera.operators import views
+from tessera.plans.review import ALIASES
 from tessera.session import table
 
-# Signs that a search text repeats in words.
-ALIASES = {"β": " beta ", "Ca²⁺": " Ca2+ calcium ", "Δψm": " membrane potential delta psi "}
 QUERY = "cristae remodelling in the matrix"
 
 
@@ -89,11 +90,23 @@ def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("question_id", tx.natural_key(F.col("question_id")).alias("sort_key")).orderBy("sort_key")
 
 
-def alias_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pilot_5_questions").dropDuplicates(["question_id"])
-    text = tx.leaf_text(F.col("question"), F.col("scope"), F.col("prohibited_inferences"), F.col("known_conflicts"))
-    full = F.lower(tx.with_aliases(text, ALIASES))
-    return rows.select("question_id", F.length(full).alias("length"), F.contains(full, F.lit("beta")).alias("has_beta"))
+def search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search text of each whole record, as its length and hash."""
+    rows = table(spark, sf_dir, "pilot_5_questions").drop("ingested_at", "created_at").dropDuplicates(["question_id"])
+    full = rows.select("question_id", search_form(tx.with_aliases(tx.record_text(rows), ALIASES)).alias("t"))
+    return full.select("question_id", F.length("t").alias("length"), F.sha2("t", 256).alias("hash"), F.contains("t", F.lit(" beta ")).alias("has_beta"))
+
+
+def leaf_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaf values of the reviews' nested members, as one text each."""
+    rows = table(spark, sf_dir, "review_pool_assessment").drop("ingested_at").dropDuplicates(["assessment_id"])
+    return rows.select("assessment_id", F.sha2(tx.record_text(rows, "bibliography", "coverage", "reference_count", "fulltext"), 256).alias("hash"))
+
+
+def title_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The titles of the documents in the order of Chinese readers."""
+    rows = table(spark, sf_dir, "documents").where("title IS NOT NULL").select("title").distinct()
+    return numbered(rows, F.collate("title", "zh"), F.col("title")).select("title", "place")
 
 
 _W = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_-]{{3,}}'))"
@@ -101,11 +114,12 @@ _DOC_WORDS = _W.format("text")
 _Q_WORDS = _W.format(f"'{QUERY}'")
 
 QUERIES = {
-    "p3op_listing": listing, "o1_search": search, "o1_search_by_source": search_by_source, "o2_catalog_rank": catalog_rank, "f7_sentence_spans": spans, "f7_span_counts": span_counts, "f6_word_sets": words,
-    "p2op_read_status": reads, "f14_triples": triples, "s15_csv_cells": cells, "s17_script_safe": escaped, "s18_public_files": files, "o4_natural_order": natural_order, "f13_search_text": alias_text,
+    "proj3_listing": listing, "o1_search": search, "o1_search_by_source": search_by_source, "o2_catalog_rank": catalog_rank, "f7_sentence_spans": spans, "f7_span_counts": span_counts, "f6_word_sets": words,
+    "proj2_read_status": reads, "f14_triples": triples, "s15_csv_cells": cells, "s17_script_safe": escaped, "s18_public_files": files, "o4_natural_order": natural_order, "f13_search_text": search_texts, "f12_leaf_values": leaf_values, "o4_title_order": title_order,
 }
-QUERIES = {k.replace("p3op_", "proj3_").replace("p2op_", "proj2_"): q for k, q in QUERIES.items()}
 ORACLES = {
+    "f12_leaf_values": """SELECT assessment_id, sha256(array_to_string(list_filter(list_concat([b.pmid, b.doi, b.pmcid, b.title, CAST(b.year AS VARCHAR)], coalesce(coverage, []), [CAST(reference_count AS VARCHAR), f.status, f.path, f.sha256, f.error],
+coalesce(flatten(list_transform(f.sections, lambda s: list_concat([s.heading], coalesce(flatten(list_transform(s.paragraphs, lambda p: [p.paragraph_id, CAST(p.n_chars AS VARCHAR)])), [])))), [])), lambda x: x IS NOT NULL), ' ')) AS hash FROM (SELECT DISTINCT ON (assessment_id) assessment_id, bibliography AS b, coverage, reference_count, fulltext AS f FROM review_pool_assessment)""",
     "proj3_listing": "SELECT paper_id AS view_id, doc_id AS evidence_id, section, title, total, total <= 2 AS complete FROM (SELECT *, count(*) OVER (PARTITION BY paper_id) AS total, row_number() OVER (PARTITION BY paper_id ORDER BY doc_id) AS k FROM documents WHERE paper_id IS NOT NULL) WHERE k <= 2",
     "o1_search": f"WITH h AS (SELECT doc_id AS evidence_id, section, contains(lower(text), lower('{QUERY}')) AS exact_match, CAST(len(list_intersect({_DOC_WORDS}, {_Q_WORDS})) AS INTEGER) AS lexical_overlap, left(text, 240) AS snippet FROM documents) SELECT evidence_id, section, exact_match, lexical_overlap, (SELECT count(*) FROM h WHERE exact_match) AS exact_matches, snippet FROM h WHERE exact_match OR lexical_overlap > 0 ORDER BY exact_match DESC, lexical_overlap DESC, evidence_id LIMIT 20",
     "o1_search_by_source": f"WITH h AS (SELECT doc_id AS evidence_id, source, contains(lower(text), 'atp synthesis') AS exact_match, CAST(len(list_intersect({_DOC_WORDS}, ['atp', 'synthesis'])) AS INTEGER) AS lexical_overlap FROM documents), r AS (SELECT *, count(*) FILTER (exact_match) OVER (PARTITION BY source) AS exact_matches, row_number() OVER (PARTITION BY source ORDER BY exact_match DESC, lexical_overlap DESC, evidence_id) AS k FROM h WHERE exact_match OR lexical_overlap > 0) SELECT source, evidence_id, exact_match, lexical_overlap, exact_matches FROM r WHERE k <= 3",

@@ -56,17 +56,46 @@ def test_bootstrap_is_the_same_every_time(spark):
 
 
 def test_feedback(spark):
-    a = (["x", "y", "z"], ["o1", "o2", "o3"])
-    rows = [(a, (["x", "y", "w"], ["o1", "p2", "o3"]), True), (a, (["x", "q", "w"], ["o1", "p2", "o3"]), False), (a, a, False), (a, (["x", "y"], ["o1", "p2"]), False), (a, (["x", "y", "z"], ["o1", "p2", "o3"]), False)]
-    kind = "struct<actions: array<string>, observations: array<string>>"
+    a = ("s", True, ["x", "y", "z"], ["o1", "o2", "o3"])
+    other = lambda actions, observations, initial="s", success=True: (initial, success, actions, observations)
+    rows = [
+        (a, other(["x", "y", "w"], ["o1", "p2", "o3"]), True), (a, other(["x", "q", "w"], ["o1", "p2", "o3"]), False), (a, a, False), (a, other(["x", "y"], ["o1", "p2"]), False), (a, other(["x", "y", "z"], ["o1", "p2", "o3"]), False),
+        (a, other(["x", "y", "w"], ["o1", "p2", "o3"], initial="t"), False), (a, other(["x", "y", "w"], ["o1", "p2", "o3"], success=False), False), (a, other([], []), False), (a, other(["x", None, "w"], ["o1", "p2", "o3"]), False),
+    ]
+    kind = "struct<initial: string, success: boolean, actions: array<string>, observations: array<string>>"
     df = spark.createDataFrame(rows, f"a {kind}, b {kind}, want boolean")
     assert all(r["changed"] == r["want"] for r in ev.changed_after_feedback(df, "a", "b").collect())
 
 
+def test_class_keys_and_parsed_predictions(spark):
+    good = '{"labels": {"evidence_support": "mixed", "n": 1, "s": "1", "l": ["a"], "o": {"a": 1}, "none": null, "yes": true}}'
+    df = spark.createDataFrame([(good,), ('{"labels": {"evidence_support": "maybe"}}',), ('{"labels": []}',), ("[1]",), ("{", ), (None,), ('{"labels": {"evidence_support": "mixed", "": 1}}',)], "t string")
+    got = [r["p"] for r in df.select(ev.parse_prediction(F.col("t")).alias("p")).collect()]
+    assert [(p["json_valid"], p["label_schema_valid"], p["error"]) for p in got] == [(True, True, None)] + [(True, False, "labels")] * 3 + [(False, False, "json")] * 2 + [(True, False, "labels")]
+    assert got[0]["labels"] == {"evidence_support": '"mixed"', "n": "1", "s": '"1"', "l": '["a"]', "o": '{"a":1}', "none": "null", "yes": "true"} and got[1]["labels"] == {}
+    keys = df.where("t LIKE '%yes%'").select(F.explode(F.expr("try_variant_get(try_parse_json(t), '$.labels', 'map<string, variant>')")).alias("k", "v")).select("k", ev.class_key(F.col("v")).alias("c")).collect()
+    assert {r["k"]: r["c"] for r in keys} == {"evidence_support": '"mixed"', "n": "1", "s": '"1"', "l": None, "o": None, "none": None, "yes": "true"}
+
+
+def test_field_scores_of_classes_without_truths_and_lists(spark):
+    rows = [({"f": '"a"', "l": '["x"]'}, {"f": '"b"'}, True), ({"f": '"a"'}, {"f": '"a"'}, True), ({"f": "null"}, {"f": '"a"'}, True), ({"g": '"z"'}, {}, False)]
+    df = spark.createDataFrame(rows, "t map<string,string>, p map<string,string>, v boolean")
+    got = {r["field"]: r for r in ev.field_scores(df, F.col("t"), F.col("p"), F.col("v"), {"f": ("a", "b", "c")}).collect()}
+    f = got["f"]
+    assert (f["evaluated"], f["not_applicable"], f["missed"], f["absent_classes"]) == (2, 2, 0, "b,c") and f["macro_f1"] == pytest.approx(2 / 3) and f["macro_f1_all"] == pytest.approx(2 / 9)
+    assert (got["l"]["non_scalar"], got["l"]["evaluated"], got["l"]["accuracy"]) == (1, 0, None) and (got["g"]["missed"], got["g"]["accuracy"], got["g"]["macro_f1_all"]) == (1, 0, None)
+
+
+def test_pair_faults(spark):
+    a = spark.createDataFrame([(1, "x", 1), (2, "x", 1), (3, "x", None), (4, "x", 1)], "id int, t string, n int")
+    b = spark.createDataFrame([(1, "x", 1), (1, "x", 1), (2, "y", 2), (3, "x", None), (5, "x", 1)], "id int, t string, n int")
+    assert sorted(map(tuple, ev.pair_faults(a, b, "id", "t", "n").collect())) == [(1, "repeated"), (2, "n"), (2, "t"), (4, "not_in_b"), (5, "not_in_a")]
+
+
 def test_fields(spark):
     rows = [(1, {"f": "x", "g": None}, {"f": "x", "g": "y"}, True), (2, {"f": "x", "g": "y"}, {"f": "z"}, True), (3, {"f": "y", "g": "y"}, {"f": "y", "g": "y"}, False)]
     df = spark.createDataFrame(rows, "id int, t map<string,string>, p map<string,string>, v boolean")
-    got = {r["field"]: r for r in ev.field_scores(df, "id", F.col("t"), F.col("p"), F.col("v")).collect()}
+    got = {r["field"]: r for r in ev.field_scores(df, F.col("t"), F.col("p"), F.col("v")).collect()}
     assert (got["f"]["evaluated"], got["f"]["missed"], got["g"]["not_applicable"], got["g"]["missed"]) == (3, 1, 1, 2)
     assert got["f"]["accuracy"] == pytest.approx(1 / 3) and got["f"]["macro_f1"] == pytest.approx((2 / 3 + 0) / 2)
 
