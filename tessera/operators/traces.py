@@ -91,6 +91,12 @@ def pair_coverage(traces: DataFrame, tasks: DataFrame, pair: str = "pair_id", ta
     return rows.groupBy(pair).agg(F.array_sort(F.collect_set(side)).alias("sides"), (two & yes(F.col("_t"))).alias("both_terminal"), (two & yes(F.col("_c"))).alias("both_complete"))
 
 
+def with_variants(tasks: DataFrame, first: DataFrame, keys: Sequence[str], id: str, variant: str, name: str) -> DataFrame:
+    """``tasks`` and, once more under a new id and ``name``, those whose keys ``first`` has."""
+    derived = tasks.join(first.select(*keys).distinct(), list(keys), "left_semi").withColumn(variant, F.lit(name)).withColumn(id, F.concat(F.col(id), F.lit(f"-{name}")))
+    return tasks.unionByName(derived.select(*tasks.columns))
+
+
 # ---- token rows ----
 
 

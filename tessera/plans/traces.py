@@ -92,12 +92,19 @@ def first_of_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.join(first, ["split", "group_id", "pair_id"], "left_semi").select("id", "split", F.lit("tool_error_repair").alias("variant"))
 
 
+def repair_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All paired tasks, and the repair variants of the first pair of each split and group besides."""
+    tasks = table(spark, sf_dir, "tasks").dropDuplicates(["id"]).where("pair_id IS NOT NULL AND split IS NOT NULL").select("id", "split", "group_id", "pair_id", "variant")
+    first = tasks.groupBy("split", "group_id").agg(F.min_by("pair_id", "id").alias("pair_id"))
+    return tr.with_variants(tasks, first, ["split", "group_id", "pair_id"], "id", "variant", "tool_error_repair").select("id", "split", "variant")
+
+
 _S = f"(SELECT * FROM (SELECT {T}, {S}, id, task_id, route, split, input_char_count, row_number() OVER (PARTITION BY {T}, {S} ORDER BY id) AS k FROM (SELECT DISTINCT ON (id) * FROM planner_sft) WHERE {T} IS NOT NULL AND {S} IS NOT NULL) WHERE k = 1)"
 _C = f"(SELECT {T}, min(task_id) AS task_id, min(route) AS route, count(*) AS expected, count(*) FILTER (kept) AS retained, coalesce(string_agg(CASE WHEN NOT kept THEN CAST({S} AS VARCHAR) END, ',' ORDER BY {S}), '') AS missing, arg_max(kept, {S}) AS terminal_retained, bool_and(kept) AS complete FROM (SELECT *, input_char_count % 5 <> 0 AS kept FROM {_S}) GROUP BY 1)"
 
 QUERIES = {
     "w1_step_order": order, "w5_w7_running": running, "w6_hash_chain": chain, "w8_histories": history, "w10_repairs": repaired, "f26_step_budget": budget, "a25_budget_audit": budget_audit, "f25_overlong": overlong,
-    "a28_coverage": coverage, "a28_coverage_by_route": coverage_by_route, "a28_pair_coverage": pair_coverage, "a26_route_costs": route_costs, "f23_f24_token_rows": tokens, "j15_w11_first_of_group": first_of_group,
+    "a28_coverage": coverage, "a28_coverage_by_route": coverage_by_route, "a28_pair_coverage": pair_coverage, "a26_route_costs": route_costs, "f23_f24_token_rows": tokens, "j15_w11_first_of_group": first_of_group, "j15_repair_variants": repair_variants,
 }
 ORACLES = {
     "w6_hash_chain": f"""
@@ -121,5 +128,6 @@ c AS (SELECT l_orderkey, ids[1:2] AS p, CASE WHEN ids[3:][-1] = 2 THEN ids[3:] E
 w AS (SELECT *, len(p) + len(q) AS n, max(len(p) + len(q)) OVER (PARTITION BY l_orderkey % 997) AS width FROM c)
 SELECT l_orderkey, array_to_string(list_concat(p, q, list_transform(range(width - n), lambda x: 0)), ',') AS input,
 array_to_string(list_concat(list_transform(p, lambda x: -100), q, list_transform(range(width - n), lambda x: -100)), ',') AS labels, CAST(n AS INTEGER) AS attended FROM w""",
+    "j15_repair_variants": "WITH t AS (SELECT DISTINCT ON (id) * FROM tasks WHERE pair_id IS NOT NULL AND split IS NOT NULL) SELECT id, split, variant FROM t UNION ALL SELECT id || '-tool_error_repair', split, 'tool_error_repair' FROM t JOIN (SELECT split, group_id, arg_min(pair_id, id) AS pair_id FROM t GROUP BY 1, 2) USING (split, group_id, pair_id)",
     "j15_w11_first_of_group": "WITH t AS (SELECT DISTINCT ON (id) * FROM tasks WHERE pair_id IS NOT NULL AND split IS NOT NULL) SELECT id, split, 'tool_error_repair' AS variant FROM t JOIN (SELECT split, group_id, arg_min(pair_id, id) AS pair_id FROM t GROUP BY 1, 2) USING (split, group_id, pair_id)",
 }
