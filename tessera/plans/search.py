@@ -11,6 +11,7 @@ from tessera.functions.unicode import search_form
 from tessera.operators import views
 from tessera.plans.review import ALIASES
 from tessera.session import table
+from tessera.sources.files import public_records
 
 QUERY = "cristae remodelling in the matrix"
 
@@ -78,11 +79,13 @@ def escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records with their source file's bare name, as they may be published."""
-    rows = table(spark, sf_dir, "verifier_records").dropDuplicates(["id"])
-    path = F.concat(F.lit("C:\\data/"), F.col("metadata.original_record.file"))
-    meta = F.col("metadata").withField("original_record.file", tx.basename(path))
-    return rows.select("id", meta.alias("metadata")).select("id", F.col("metadata.original_record.file").alias("file"), F.col("metadata.split").alias("split"))
+    """Records as they may be published, out of records with whole paths: the bare name, and that all else is as it was."""
+    rows = table(spark, sf_dir, "verifier_records").drop("ingested_at").dropDuplicates(["id"])
+    rows = rows.withColumn("metadata", F.col("metadata").withField("original_record.file", F.concat(F.lit("C:\\data/"), F.col("metadata.original_record.file"))))
+    out = public_records(rows)
+    digest = lambda df: F.md5(F.to_json(F.struct(*(c for c in df.columns if c != "metadata"))).cast("binary"))
+    both = rows.select("id", digest(rows).alias("before")).join(out.select("id", "metadata", digest(out).alias("after")), "id")
+    return both.select("id", F.col("metadata.original_record.file").alias("file"), F.col("metadata.split").alias("split"), (F.col("before") == F.col("after")).alias("unchanged"))
 
 
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,6 +140,6 @@ SELECT doc_id AS evidence_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER
     "s15_csv_cells": """SELECT doc_id, '"' || replace(CASE WHEN regexp_matches(coalesce(title, ''), '^[=+\\-@]') THEN '''' || title ELSE coalesce(title, '') END, '"', '""') || '"' AS title,
 sha256('"' || replace(CASE WHEN regexp_matches(coalesce(text, ''), '^[=+\\-@]') THEN '''' || text ELSE coalesce(text, '') END, '"', '""') || '"') AS text, '"''=' || source || '"' AS source FROM documents""",
     "s17_script_safe": "SELECT DISTINCT record_id, sha256(replace(replace(replace(replace(replace(body, '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e'), chr(8232), '\\u2028'), chr(8233), '\\u2029')) AS hash FROM raw_records",
-    "s18_public_files": "SELECT DISTINCT id, metadata.original_record.file AS file, metadata.split AS split FROM verifier_records",
+    "s18_public_files": "SELECT DISTINCT id, metadata.original_record.file AS file, metadata.split AS split, true AS unchanged FROM verifier_records",
     "o4_natural_order": "SELECT DISTINCT question_id, lower(split_part(question_id, '-', 1)) || '-' || lpad(regexp_replace(split_part(question_id, '-', 2), '^0+(.)', '\\1'), 20, '0') || '-' || lpad(regexp_replace(split_part(question_id, '-', 3), '^0+(.)', '\\1'), 20, '0') AS sort_key FROM pilot_5_questions",
 }

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,7 +124,7 @@ def test_macro_f1_bootstrap_like_brute_force(spark):
         return sum(f1) / len(f1)
 
     keys, samples = sorted({r[0] for r in rows}), 200
-    slots = [r[0] for r in spark.sql(f"SELECT pmod(xxhash64(20260908, id), {len(keys)}) FROM range({samples * len(keys)}) ORDER BY id").collect()]
+    slots = [int(hashlib.md5(f"20260908:{k}".encode()).hexdigest()[:15], 16) % len(keys) for k in range(samples * len(keys))]
     values = []
     for k in range(samples):
         chosen = [r for x in slots[k * len(keys) : (k + 1) * len(keys)] for r in rows if r[0] == keys[x]]

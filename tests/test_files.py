@@ -65,6 +65,76 @@ def test_manifests(spark, tmp_path):
             files.load_datasets(spark, str(tmp_path), "m.json")
 
 
+def test_line_numbers_over_many_blocks(spark, tmp_path):
+    lines = [json.dumps({"id": f"r{k}", "x": "y" * (k % 50)}) if k % 7 else "" for k in range(5000)]
+    (tmp_path / "big.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "crlf.jsonl").write_bytes(b'{"id": "a"}\r\n\r\n{"id": "b"}')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = files.read_jsonl_numbered(spark, str(tmp_path / "*.jsonl"))
+        assert spark.read.text(str(tmp_path / "big.jsonl")).select("_metadata.file_block_start").distinct().count() > 9
+        got = sorted((r["path"].rsplit("/", 1)[-1], r["source_line"], r["body"]) for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [("big.jsonl", k + 1, line) for k, line in enumerate(lines) if line] + [("crlf.jsonl", 1, '{"id": "a"}'), ("crlf.jsonl", 3, '{"id": "b"}')]
+
+
+def test_digests_of_files_larger_than_a_block(spark, tmp_path):
+    data = bytes(range(256)) * 12_000 + b"end"
+    (tmp_path / "big file.bin").write_bytes(data)
+    got = files.file_digests(spark, str(tmp_path / "*.bin")).first().asDict()
+    assert len(data) > 2 * files.BLOCK_BYTES and got == {"name": "big file.bin", "sha256": hashlib.sha256(data).hexdigest(), "bytes": len(data)}
+
+
+def test_spreadsheet_file(spark, tmp_path):
+    df = spark.createDataFrame([("a", "=1+1", ["x", "y"], None), ("b", 'say "no"', [], 2)], "id string, t string, tags array<string>, n int")
+    files.write_cells_csv(df, str(tmp_path / "out"))
+    (part,) = (tmp_path / "out").glob("part-*")
+    assert part.read_bytes().decode("utf-8") == '\ufeff"id","t","tags","n"\r\n"a","\'=1+1","[""x"",""y""]",""\r\n"b","say ""no""","[]","2"\r\n'
+    with pytest.raises(Exception, match="(?i)exist"):
+        files.write_cells_csv(df, str(tmp_path / "out"))
+
+
+def test_pretty_snapshot(spark, tmp_path):
+    df = spark.createDataFrame([("b", 1, None), ("a", None, ("x",))], "id string, n int, s struct<v: string>").repartition(3)
+    files.write_pretty_json(df, str(tmp_path / "out"), "id")
+    (part,) = (p for p in (tmp_path / "out").glob("part-*") if p.stat().st_size)
+    assert json.loads(part.read_text()) == [{"id": "a", "n": None, "s": {"v": "x"}}, {"id": "b", "n": 1, "s": None}] and "\n  " in part.read_text()
+    files.write_pretty_json(df.limit(0), str(tmp_path / "none"), "id")
+    assert "".join(p.read_text() for p in (tmp_path / "none").glob("part-*")).strip() == "[]"
+
+
+def test_new_and_replaced_json(spark, tmp_path):
+    path = tmp_path / "run.json"
+    files.write_new_json(spark, str(path), {"b": 1, "a": "胰"})
+    assert path.read_text() == '{\n  "a": "胰",\n  "b": 1\n}\n'
+    with pytest.raises(FileExistsError):
+        files.write_new_json(spark, str(path), {})
+    (tmp_path / "link.json").symlink_to(tmp_path / "nowhere")
+    with pytest.raises(FileExistsError):
+        files.write_new_json(spark, str(tmp_path / "link.json"), {})
+    files.replace_json(spark, str(path), {"b": 2})
+    files.replace_json(spark, str(tmp_path / "other.json"), [1])
+    assert json.loads(path.read_text()) == {"b": 2} and json.loads((tmp_path / "other.json").read_text()) == [1]
+    assert not list(tmp_path.glob("*.tmp"))
+    with pytest.raises(ValueError):
+        files.replace_json(spark, str(path), {"x": float("nan")})
+
+
+def test_public_export(spark, tmp_path):
+    schema = "id string, task_id string, prompt string, completion string, metadata struct<split: string, original_record: struct<file: string>>"
+    rows = [("a", "1", "p", "c", ("train", ("/mnt/x/a.json",))), ("b", "2", "p", "c", ("dev", ("C:\\x\\b.json",))), ("c", "3", "p", "c", ("train", None))]
+    df = spark.createDataFrame(rows, schema)
+    counts = files.export_public(df, str(tmp_path / "out"))
+    assert {(r["split"], r["records"], r["tasks"]) for r in counts.collect()} == {("train", 2, 2), ("dev", 1, 1)}
+    back = {r["id"]: r["metadata"]["original_record"] for r in spark.read.schema(schema).json(str(tmp_path / "out" / "train")).collect()}
+    assert back["a"]["file"] == "a.json" and back["c"] is None
+    for k, bad in enumerate((("d", "4", "see /home/me/x", "c", ("train", None)), ("d", "4", "p", "c", ("test", None)), ("d", "1", "p", "c", ("dev", None)), ("a", "9", "p", "c", ("dev", None)))):
+        with pytest.raises(ConstraintError):
+            files.export_public(spark.createDataFrame([*rows, bad], schema), str(tmp_path / f"bad{k}"))
+
+
 def test_log_stream(spark, tmp_path):
     log = tmp_path / "log"
     rows = [(f"t{k % 3}", "a", k % 2 == 0, 1, f"2025-01-01 00:{k % 30:02d}:00") for k in range(60)]

@@ -93,3 +93,46 @@ def test_counters_flags_and_filters(spark):
     assert [(r["value"], r["n"], r["rank"]) for r in review.ranked_counter(tags, F.col("t")).orderBy("rank").collect()] == [("a", 2, 1), ("b", 2, 2), ("c", 1, 3)]
     records = spark.createDataFrame([("d", "s", ["f"], "islet text"), ("d", "s", [], "islet text"), ("e", "s", ["f"], "islet")], "dataset string, status string, flags array<string>, search_text string")
     assert review.faceted(records, dataset="d", status="s", flagged=True, query=" ISLET ").count() == 1
+
+
+def test_search_text_like_a_plain_walk(spark, sf):
+    """The whole record of every question, against a walk over its leaves in Python."""
+    import unicodedata
+
+    import pyarrow.parquet as pq
+
+    from tessera.plans.review import ALIASES
+    from tessera.plans.search import search_texts
+
+    def leaves(x):
+        if x is None:
+            return []
+        if isinstance(x, bool):
+            return ["true" if x else "false"]
+        if isinstance(x, dict):
+            return [t for v in x.values() for t in leaves(v)]
+        return [t for v in x for t in leaves(v)] if isinstance(x, list) else [str(x)]
+
+    want = {}
+    for row in pq.read_table(f"{sf}/pilot_5_questions.parquet").to_pylist():
+        text = " ".join(leaves({k: v for k, v in row.items() if k not in ("ingested_at", "created_at")}))
+        for sign, more in ALIASES.items():
+            text += more if sign in text else ""
+        text = unicodedata.normalize("NFKC", text).casefold()
+        want[row["question_id"]] = (len(text), hashlib.sha256(text.encode()).hexdigest())
+    assert {r["question_id"]: (r["length"], r["hash"]) for r in search_texts(spark, sf).collect()} == want
+
+
+def test_titles_in_chinese_order(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("次",), ("阿",), ("波",), ("a",)], "t string")
+    assert [r["t"] for r in df.orderBy(F.collate("t", "zh")).collect()][-3:] == ["阿", "波", "次"] or [r["t"] for r in df.orderBy(F.collate("t", "zh")).collect()][:3] == ["阿", "波", "次"]
+
+
+def test_half_even(spark):
+    from tessera.functions.numeric import half_even
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(0.125,), (0.375,), (-0.125,), (2.5,), (None,)], "x double")
+    assert [r[0] for r in df.select(half_even(F.col("x"), 2)).collect()] == [0.12, 0.38, -0.12, 2.5, None]

@@ -81,3 +81,29 @@ def test_anchors_query_seeks_whole_questions(spark, tmp_path):
     spark.createDataFrame([("long", head + " after 4 h?"), ("short", "Why so?"), ("empty", ""), ("none", None)], "item_id string, question string").write.parquet(f"{tmp_path}/eval_items.parquet")
     spark.createDataFrame([(1, head + " after 9 h?"), (2, "so: " + head.upper() + " after 4 h? yes"), (3, "He asked: why so?"), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {tuple(r) for r in anchors(spark, str(tmp_path)).select("doc_id", "item_id").collect()} == {(2, "long"), (3, "short")}
+
+
+def test_gap_ranges_of_a_dirty_step(spark):
+    df = table(spark, [("a", 0), ("a", 1), ("a", 1), ("a", 2_000_000_000), ("b", 0), ("c", 3), ("d", -1), (None, None)], "t string, k int")
+    got = {(r["t"], r["first"], r["last"]) for r in v.gap_ranges(df, "t", "k").collect()}
+    assert got == {("a", 2, 1_999_999_999), ("c", 0, 2)}
+
+
+def test_demonstrations_against_their_steps(spark):
+    m = "array<struct<role: string, content: string>>"
+    ok = [("system", "s"), ("user", "q"), ("assistant", "a")]
+    steps = table(spark, [("t", 0, "x", "h0"), ("t", 1, "x", "h1")], "t string, k int, task string, digest string")
+    rows = [
+        ("good", "t", 0, "x", "h0", ok), ("task", "t", 1, "y", "h1", ok), ("again", "t", 1, "x", "h2", ok), ("out", "t", 2, "x", "h", ok), ("none", None, None, "x", "h", ok),
+        ("later", "t", 0, "x", "h0", [ok[1], ok[0], ok[2]]), ("last", "t", 0, "x", "h0", ok[:2]), ("empty", "t", 0, "x", "h0", None),
+    ]
+    df = table(spark, rows, f"id string, t string, k int, task string, digest string, messages {m}")
+    got = {r["id"]: r["faults"] for r in v.demonstration_faults(df, steps, "t", "k", ["task"]).collect()}
+    many = "repeated_step"
+    assert got == {"good": [many], "task": [many, "task"], "again": [many, "digest"], "out": ["no_reference"], "none": ["no_reference"], "later": [many, "messages"], "last": [many, "messages"], "empty": [many, "messages"]}
+
+
+def test_label_contract(spark):
+    df = table(spark, [('{"severity": "minor", "context_match": "no", "error_types": ["other"], "causal_evidence_in_source_study": ["none", "x"], "evidence_support": ["mixed"], "target_causal_status": null}',)], "t string")
+    got = {r["field"]: r["state"] for r in df.select(F.inline(v.label_states(F.try_parse_json("t")))).collect()}
+    assert got == {"severity": "ok", "context_match": "outside", "error_types": "ok", "causal_evidence_in_source_study": "outside", "evidence_support": "outside", "target_causal_status": "absent", "uncertainty_expression": "absent", "causal_evidence_in_target_experiment": "absent"}
