@@ -15,9 +15,11 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.staging import Stage
+
 # Letters and signs of other scripts that look like the Latin (or, in the last row, Greek) one below them.
 LOOKALIKES = (
     ("АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԝ", "ABESIJKMHOPCTYXaeopcyxsijhdqw"),
@@ -91,8 +93,8 @@ def skeleton(form: Column) -> Column:
 
 
 def _plain(form: Column) -> Column:
-    """A hash of the part of a text that no accent touches; texts equal under the collation have the same."""
-    return F.xxhash64(F.regexp_replace(form, r"[^\x00-\x7f]\p{M}*|[\x00-\x7f]\p{M}+", ""))
+    """A hash of the part of a text that no accent touches: texts equal under the collation have the same, few others do."""
+    return F.xxhash64(F.regexp_replace(form, r"[^\x09-\x0d\x20-\x7e\x{3400}-\x{9fff}]\p{M}*|[\x20-\x7e]\p{M}+", ""))
 
 
 def one_form(df: DataFrame, field: str, text: str) -> DataFrame:
@@ -102,18 +104,29 @@ def one_form(df: DataFrame, field: str, text: str) -> DataFrame:
     the mapped texts of its class, of these the least by bytes.  A null
     text has a null form and no variants; other columns are kept as they are,
     but for those two names, which are replaced.
+
+    Only looks that others share the plain part with can equal another under the
+    collation; the rest are classes of their own and need no comparison.
     """
     spark = df.sparkSession
     kept = df.drop("canonical", "variants")
     texts = kept.where(F.col(text).isNotNull()).select(F.col(field).alias("_field"), F.col(text).alias("_text")).distinct().withColumn("_mapped", mapped(F.col("_text")))
     texts = texts.withColumn("_look", skeleton(F.col("_mapped"))).withColumn("_plain", _plain(F.col("_look")))
+    # mapped once, as three plans read it; a mapped text that is its look is kept once
+    stage = Stage(spark, "lookalikes")
+    texts = stage.put(texts.withColumn("_mapped", F.nullif("_mapped", F.col("_look")))).withColumn("_mapped", F.coalesce("_mapped", "_look"))
+    looks = texts.groupBy("_field", "_plain", "_look").agg(F.min(F.struct(F.char_length("_mapped").alias("n"), F.col("_mapped").alias("form"))).alias("best"), F.count("*").alias("texts"))
+    looks = stage.put(looks.withColumn("crowd", F.count("*").over(Window.partitionBy("_field", "_plain"))))
     forms = spark.sql(
         """
-        WITH texts AS (SELECT _field, _plain, _text, _mapped, collate(_look, 'UNICODE') AS alike FROM {texts}),
-        classes AS (SELECT _field, _plain, alike, min(struct(char_length(_mapped) AS n, _mapped AS form)).form AS canonical, count(*) AS variants FROM texts GROUP BY _field, _plain, alike)
-        SELECT texts._field, texts._text, classes.canonical, classes.variants
-        FROM texts JOIN classes ON texts._field <=> classes._field AND texts._plain = classes._plain AND texts.alike = classes.alike
+        WITH looks AS (SELECT *, collate(_look, 'UNICODE') AS alike FROM {looks} WHERE crowd > 1),
+        classes AS (SELECT _field, _plain, alike, min(best).form AS canonical, sum(texts) AS variants FROM looks GROUP BY _field, _plain, alike)
+        SELECT looks._field, looks._plain, looks._look, classes.canonical, classes.variants
+        FROM looks JOIN classes ON looks._field <=> classes._field AND looks._plain = classes._plain AND looks.alike = classes.alike
+        UNION ALL SELECT _field, _plain, _look, best.form, texts FROM {looks} WHERE crowd = 1
         """,
-        texts=texts,
+        looks=looks,
     )
-    return kept.alias("d").join(forms.alias("f"), F.col(f"d.{field}").eqNullSafe(F.col("f._field")) & (F.col(f"d.{text}") == F.col("f._text")), "left").select("d.*", "f.canonical", F.coalesce("f.variants", F.lit(0).cast("long")).alias("variants"))
+    formed = texts.alias("t").join(forms.alias("f"), F.col("t._field").eqNullSafe(F.col("f._field")) & (F.col("t._plain") == F.col("f._plain")) & (F.col("t._look") == F.col("f._look")))
+    formed = formed.select("t._field", "t._text", "f.canonical", "f.variants")
+    return kept.alias("d").join(formed.alias("f"), F.col(f"d.{field}").eqNullSafe(F.col("f._field")) & (F.col(f"d.{text}") == F.col("f._text")), "left").select("d.*", "f.canonical", F.coalesce("f.variants", F.lit(0).cast("long")).alias("variants"))
