@@ -32,17 +32,26 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FROM, _TO, _SEVERAL = character_map()
 
 
-def _sql_mapped(column: str) -> str:
+def _sql_mapped(column: str, look: bool = True) -> str:
     out = f"regexp_replace(regexp_replace({column}, '[\\x{{AD}}\\x{{34F}}\\x{{61C}}\\x{{115F}}\\x{{1160}}\\x{{17B4}}\\x{{17B5}}\\x{{180B}}-\\x{{180F}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{206F}}\\x{{FE00}}-\\x{{FE0F}}\\x{{FEFF}}]', '', 'g'), '[\\t\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g')"
     for a, b in _SEVERAL:
         out = f"replace({out}, '{a}', '{b}')"
     quote = lambda s: s.replace("'", "''")
+    if not look:
+        return f"translate({out}, '{quote(_FROM)}', '{quote(_TO)}')"
     seen, alike = ("".join(x[k] for x in AMBIGUOUS) for k in (0, 1))
     return f"nfc_normalize(translate(translate({out}, '{quote(_FROM)}', '{quote(_TO)}'), '{seen}', '{alike}'))"
 
 
+_ENTRIES = """SELECT DISTINCT 'question' AS field, question_id, CAST(0 AS INTEGER) AS position, question AS text FROM pilot_5_questions WHERE question IS NOT NULL AND question_id IS NOT NULL
+UNION SELECT 'known_conflicts', question_id, CAST(i AS INTEGER), x FROM (SELECT question_id, unnest(known_conflicts) AS x, unnest(range(len(known_conflicts))) AS i FROM pilot_5_questions) WHERE x IS NOT NULL AND question_id IS NOT NULL"""
+
 QUERIES = {"p3_found": found, "p3_forms": forms}
 ORACLES = {
+    "p3_forms": f"""
+WITH e AS ({_ENTRIES}), t AS (SELECT field, text, {_sql_mapped('text', False)} AS mapped, {_sql_mapped('text')} AS look FROM (SELECT DISTINCT field, text FROM e)),
+c AS (SELECT field, look, min(struct_pack(n := length(mapped), form := mapped)).form AS canonical, count(*) AS variants FROM t GROUP BY 1, 2)
+SELECT e.field, question_id, position, text, canonical, variants FROM e JOIN t USING (field, text) JOIN c USING (field, look)""",
     "p3_found": f"""
 WITH e AS (SELECT DISTINCT 'question' AS field, question_id AS id, question AS text FROM pilot_5_questions WHERE question IS NOT NULL AND question_id IS NOT NULL
            UNION SELECT 'known_conflicts', question_id, x FROM (SELECT question_id, unnest(known_conflicts) AS x FROM pilot_5_questions) WHERE x IS NOT NULL AND question_id IS NOT NULL),
