@@ -7,9 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a side of known small width that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Rows, and bytes about, of a side that may be broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 48 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,8 @@ class Stage:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)  # plans may read it until the application ends
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -49,6 +52,17 @@ class Stage:
                 at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def width(of: T.DataType) -> int:
+    """Bytes that a value takes in a broadcast, about; texts are taken to be short and arrays to have eight members."""
+    if isinstance(of, T.StructType):
+        return 8 + sum(width(f.dataType) for f in of.fields)
+    if isinstance(of, T.ArrayType):
+        return 16 + 8 * width(of.elementType)
+    if isinstance(of, T.MapType):
+        return 16 + 8 * (width(of.keyType) + width(of.valueType))
+    return {"string": 40, "binary": 256}.get(of.typeName(), 8)
+
+
 def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows are within the limit; else the join may shuffle."""
-    return F.broadcast(df) if rows <= limit else df
+    """``df`` with a broadcast hint if its counted rows, by number and by width, are within the limits; else the join may shuffle."""
+    return F.broadcast(df) if rows <= limit and rows * width(df.schema) <= BROADCAST_BYTES else df

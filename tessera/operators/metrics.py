@@ -25,8 +25,7 @@ def two_level(rows: DataFrame, keys: Sequence[str], *, value: str = "value", uni
     partially before they shuffle; the guards ride along with the first.
     """
     blank = F.coalesce(F.trim(F.col(unit)) == "", F.lit(True))
-    guards = [F.min(F.to_json(F.struct(*s), {"ignoreNullFields": "false"})).alias(f"_low{k}") for k, s in enumerate(same)]
-    guards += [F.max(F.to_json(F.struct(*s), {"ignoreNullFields": "false"})).alias(f"_high{k}") for k, s in enumerate(same)]
+    guards = [f(F.struct(*s)).alias(f"_{name}{k}") for k, s in enumerate(same) for name, f in (("low", F.min), ("high", F.max))]
     units = rows.groupBy(*keys, unit).agg(
         F.median(F.when(finite(F.col(value)), F.col(value))).alias("_median"),
         F.count("*").alias("_rows"),

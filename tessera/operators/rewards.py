@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.numbering import numbered
 from tessera.functions.numeric import finite, ratio
 
 
@@ -117,9 +118,23 @@ def episode_loss(tokens: DataFrame, episode: str, mask: str, loss: Column) -> Da
     return each.agg(F.count("*").alias("episodes"), ratio(F.sum("_loss"), F.count("*")).alias("loss"))
 
 
-def trailing_mean(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, n: int = 25, out: str = "trailing_mean") -> DataFrame:
-    """The mean of the last ``n`` values of a series, by arm."""
-    return rows.withColumn(out, F.avg(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(-(n - 1), 0)))
+#: Rows of a series that are averaged by one task.
+STRETCH = 100_000
+
+
+def trailing_mean(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, n: int = 25, out: str = "trailing_mean", stretch: int = STRETCH) -> DataFrame:
+    """The mean of the last ``n`` values of a series, by arm; null values do not count.
+
+    Rows are numbered in the order of arms and steps, without one task for all
+    of an arm, and cut into stretches, each of which gets the n - 1 rows before
+    it besides.
+    """
+    stretch = max(stretch, n)
+    placed = numbered(rows, *by, *order, name="_place")
+    cut = F.floor(F.col("_place") / stretch)
+    before = F.explode(F.when((F.col("_place") % stretch) > stretch - n, F.array(cut, cut + 1)).otherwise(F.array(cut)))
+    mean = F.avg(value).over(Window.partitionBy("_cut", *by).orderBy("_place").rowsBetween(-(n - 1), 0))
+    return placed.withColumn("_cut", before).withColumn(out, mean).where(F.col("_cut") == cut).drop("_cut", "_place")
 
 
 def flat_groups(rows: DataFrame, group: Sequence[str], reward: str) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tessera.functions.text import holds, snippet, statements, word_overlap, word_set
 
 
+#: Parts that a group is ranked in.
+PARTS = 32
+
+
 def bridge(views: DataFrame, ids: str, id: str, view: str = "view_id") -> DataFrame:
     """(view, id, place): the members of each view in its order."""
     return views.select(view, F.posexplode(ids).alias("place", id)).where(F.col(id).isNotNull())
@@ -41,9 +45,14 @@ def search(passages: DataFrame, query: Column | str, limit: int = 20, id: str =
     if by is None:
         total = hits.agg(F.count_if("exact_match").alias("exact_matches"))
         return hits.drop(text).orderBy(*order).limit(limit).crossJoin(F.broadcast(total))
-    w = Window.partitionBy(by)
-    ranked = hits.drop(text).withColumn("exact_matches", F.count_if("exact_match").over(w)).withColumn("_k", F.row_number().over(w.orderBy(*order)))
-    return ranked.where(F.col("_k") <= limit).drop("_k")
+    # a large group is ranked in parts by a hash of the id, of which only the best meet
+    parts = F.pmod(F.xxhash64(id), F.lit(PARTS))
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    first = hits.drop(text).withColumn("_part", parts).withColumn("_k", rank(by, "_part")).where(F.col("_k") <= limit)
+    best = first.withColumn("_k", rank(by)).where(F.col("_k") <= limit).drop("_k", "_part")
+    totals = hits.groupBy(by).agg(F.count_if("exact_match").alias("exact_matches"))
+    joined = best.alias("b").join(totals.alias("t"), F.col(f"b.{by}").eqNullSafe(F.col(f"t.{by}")))
+    return joined.select("b.*", "t.exact_matches")
 
 
 def sentence_spans(passages: DataFrame, id: str = "evidence_id", text: str = "text") -> DataFrame:

@@ -87,3 +87,19 @@ def test_queries_over_all_draws_like_brute_force(spark, sf):
     assert at(measures.loo_rewards, "advantage") == pytest.approx({(p, s, i + 1): others(g, i) for (p, s), g in groups.items() for i in range(len(g))}, abs=2e-6)
     assert at(measures.group_rewards, "advantage") == pytest.approx({(p, s, i + 1): (x - mean(g)) / (statistics.pstdev(g) + 1e-8) for (p, s), g in groups.items() for i, x in enumerate(g)}, abs=2e-6)
     assert measures.flat(spark, sf).first().asDict() == {"flat_groups": sum(min(g) == max(g) for g in groups.values()), "groups": len(groups)}
+
+
+@pytest.mark.parametrize("stretch", [7, 30, 1000])
+def test_trailing_mean_across_stretches(spark, stretch):
+    rng = random.Random(4)
+    rows = [(arm, k, rng.choice((None, rng.random()))) for arm in "abc" for k in range(rng.randrange(5, 120))]
+    df = spark.createDataFrame(rows, "arm string, k int, v double").repartition(5)
+    got = {(r["arm"], r["k"]): r["trailing_mean"] for r in rw.trailing_mean(df, ["arm"], ["k"], "v", 5, stretch=stretch).collect()}
+    want = {}
+    for arm in "abc":
+        series = [v for a, _, v in rows if a == arm]
+        for k in range(len(series)):
+            last = [v for v in series[max(0, k - 4) : k + 1] if v is not None]
+            want[arm, k] = sum(last) / len(last) if last else None
+    assert {k: v is None for k, v in got.items()} == {k: v is None for k, v in want.items()}
+    assert {k: v for k, v in got.items() if v is not None} == pytest.approx({k: v for k, v in want.items() if v is not None})
