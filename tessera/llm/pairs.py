@@ -57,11 +57,26 @@ REFUSALS = re.compile(
     re.IGNORECASE | re.VERBOSE,
 )
 
+#: One of these is in every refusal, so that most answers need no pattern.
+REFUSAL_SIGNS = tuple(
+    "cannot,can not,can't,can’t,could not,unable,not able,not allowed,not permitted,won't,won’t,will not,decline,refuse,rather not,prefer not,comfortable,as an ai,as a ai,as an artificial,as a artificial,as a language,as an language,outside,against my,no verdict,no answer,"
+    "无法,不能,不便,不会,不可以,难以,拒绝,不愿,恕,超出,作为,谢绝,请换一个,nicht,kein,lehn,als ki,"
+    "no puedo,no podemos,no me es,no podré,no debo,no quiero,no estoy,no soy,negarme,rechazar,declinar,niego,prefiero no,como modelo,como inteligencia,como un,fuera de".split(",")
+)
+
+
+def refuses(text: str) -> bool:
+    """Whether a speaker declines to answer."""
+    low = " ".join(text.lower().split())
+    return any(sign in low for sign in REFUSAL_SIGNS) and REFUSALS.search(text) is not None
+
+
 #: Scripts that tell a language, or a family, by themselves.
 SCRIPTS = {
     "cyrillic": "Ѐ-ӿ", "greek": "Ͱ-Ͽἀ-῿", "arabic": "؀-ۿ", "hebrew": "֐-׿", "devanagari": "ऀ-ॿ", "thai": "฀-๿", "hangul": "가-힣ᄀ-ᇿ", "kana": "぀-ヿ",
 }
 _SCRIPTS = {name: re.compile(f"[{chars}]") for name, chars in SCRIPTS.items()}
+_OTHER_SCRIPTS = re.compile(f"[{''.join(SCRIPTS.values())}]")
 
 #: Frequent small words, by language; a text's language is that of most of them.  Of the last four, only words that the others do not have.
 SMALL_WORDS = {
@@ -75,19 +90,35 @@ SMALL_WORDS = {
 }
 
 
+_WORDS = re.compile(r"[^\W\d_]+")
+_SPANISH, _GERMAN = re.compile(r"ñ|ción$|[áíóú]"), re.compile(r"ß|[äöü]")
+#: The languages of each small word.
+_LANGUAGES: dict[str, tuple[str, ...]] = {}
+for _name, _small in SMALL_WORDS.items():
+    for _w in _small:
+        _LANGUAGES[_w] = (*_LANGUAGES.get(_w, ()), _name)
+
+
 def language(text: str) -> str | None:
     """The language or script of a text; null where it says too little."""
-    letters = len(_LETTER.findall(text)) if not text.isascii() else 0
-    for name, signs in _SCRIPTS.items() if letters else ():
-        if (n := len(signs.findall(text))) >= 4 and 2 * n >= letters:
-            return name
-    han = len(_HAN.findall(text))
-    words = [w for w in re.findall(r"[^\W\d_]+", _HAN.sub(" ", text).lower())]
+    if not text.isascii() and len(_OTHER_SCRIPTS.findall(text)) >= 4:
+        letters = len(_LETTER.findall(text))
+        for name, signs in _SCRIPTS.items():
+            if (n := len(signs.findall(text))) >= 4 and 2 * n >= letters:
+                return name
+    han = len(_HAN.findall(text)) if not text.isascii() else 0
+    words = _WORDS.findall((_HAN.sub(" ", text) if han else text).lower())
     if han >= 4 and han >= 1.2 * len(words):
         return "zh"
-    counts = {k: sum(w in small for w in words) for k, small in SMALL_WORDS.items()}
-    counts["es"] += sum(1 for w in words if re.search(r"ñ|ción$|[áíóú]", w))
-    counts["de"] += sum(1 for w in words if re.search(r"ß|[äöü]|ung(?:en)?$", w))
+    counts = dict.fromkeys(SMALL_WORDS, 0)
+    for w in words:
+        for name in _LANGUAGES.get(w, ()):
+            counts[name] += 1
+        if not w.isascii():
+            counts["es"] += _SPANISH.search(w) is not None
+            counts["de"] += _GERMAN.search(w) is not None or w.endswith(("ung", "ungen"))
+        elif w.endswith(("ung", "ungen")):
+            counts["de"] += 1
     best = max(counts, key=lambda k: counts[k])
     rest = max(v for k, v in counts.items() if k != best)
     return best if counts[best] >= 2 and counts[best] > rest else None
@@ -173,7 +204,7 @@ def defects(prompt: str | None, answer: str | None) -> list[str]:
     if broken or not _END.search(said) or any(said.count(o) > said.count(c) for o, c in _OPEN.items()):
         out.append("truncated_answer")
     own = _SAID.sub(" ", said)
-    if REFUSALS.search(own):
+    if refuses(own):
         out.append("refusal")
     tokens = _TOKEN.findall(said.lower())
     asked = _TOKEN.findall((prompt or "").lower())

@@ -79,3 +79,11 @@ def test_broken_answers_keep_their_other_defects():
     assert defects(asked, broken("Does the evidence support the claim that insulin secretion was reduced")) == ["truncated_answer", "copied_question"]
     assert defects(asked, broken("Der Befund wurde nicht mit der Messung verglichen und ist daher unklar \\u00")) == ["truncated_answer", "other_language"]
     assert defects(asked, '{"labels": {"evidence_support": "mi') == defects(asked, broken("")) == ["truncated_answer"]
+
+
+def test_every_refusal_has_a_sign():
+    """The quick look before the patterns lets none of them by."""
+    from tessera.llm.pairs import REFUSALS, refuses
+
+    said = ["I am unable to help", "We can\tnot\nassist", "I won't be able to comply", "I must respectfully decline", "I refuse", "I'd rather not", "I do not feel comfortable", "As an AI model", "as a language model", "That is outside my scope", "It is against my guidelines", "No verdict will be given", "我无法回答", "恕难从命", "超出了我的能力", "作为人工智能，我不能", "拒绝回答", "请换一个话题", "Das kann ich nicht beantworten", "Ich lehne das ab", "Ich möchte das ablehnen", "Als KI", "Ich bin nicht befugt, das zu beurteilen", "No puedo ayudar", "No me es posible responder", "Debo negarme", "Me niego", "Prefiero no opinar", "Como modelo de lenguaje", "Como una IA", "Fuera de mis funciones"]
+    assert all(REFUSALS.search(t) and refuses(t) for t in said)
