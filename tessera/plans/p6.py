@@ -83,15 +83,48 @@ def others(spark: SparkSession, sf_dir: str) -> DataFrame:
 _P = "(SELECT question_id AS k, required_claims AS c, source_reviews AS r FROM pilot_5_questions)"
 _F = "(SELECT assessment_id AS k, fulltext.sections AS s FROM review_pool_assessment WHERE fulltext IS NOT NULL)"
 _AT = "unnest({0}) AS {1}, unnest(range(len({0}))) AS {2}"
+def _decoded(x: str) -> str:
+    """What a JSON value is, JSON in a string being what it encodes."""
+    once = f"CASE WHEN json_type({x}) = 'VARCHAR' AND regexp_matches(json_extract_string({x}, '$'), '^\\s*[\\[{{\"]') AND json_valid(json_extract_string({x}, '$')) THEN CAST(json_extract_string({x}, '$') AS JSON) ELSE {x} END"
+    return once
+
+
+_MEMBERS = "'required_claims', 'source_reviews', 'fulltext'"
+
+
+def _opened(x: str) -> str:
+    """A record without one wrapping: a list of one, or the member ``record`` where no other member is there."""
+    return _decoded(f"(CASE WHEN json_type({x}) = 'ARRAY' AND json_array_length({x}) = 1 THEN json_extract({x}, '$[0]') WHEN json_type({x}) = 'OBJECT' AND list_contains(json_keys({x}), 'record') AND NOT list_has_any(json_keys({x}), [{_MEMBERS}]) THEN json_extract({x}, '$.record') ELSE {x} END)")
+
+
+def _elements(x: str) -> str:
+    return f"CASE WHEN json_type({x}) = 'ARRAY' THEN json_extract({x}, '$[*]') ELSE [{x}] END"
+
+
+def _below(parent: str, member: str, path: str, before: str = "") -> str:
+    """The children of a member of the rows (k, o, x) of a table."""
+    place = "CAST(i AS VARCHAR)" if not before else "o || '.' || i"
+    return f"""SELECT k, '{path}' AS path, o, x FROM (SELECT k, {place} AS o, {_decoded('e')} AS x FROM (SELECT k, o, unnest(l) AS e, unnest(range(len(l))) AS i FROM (SELECT k, o, {_elements('v')} AS l FROM (SELECT k, o, {_decoded('v')} AS v FROM (SELECT k, o, json_extract(x, '$.{member}') AS v FROM {parent} WHERE json_type(x) = 'OBJECT') WHERE v IS NOT NULL)))) WHERE json_type(x) <> 'NULL'"""
+
+
+_RAW = f"""
+b0 AS (SELECT DISTINCT record_id AS k, CAST(body AS JSON) AS x FROM raw_records WHERE record_id IS NOT NULL AND json_valid(body)),
+b1 AS (SELECT k, {_decoded('x')} AS x FROM b0), b2 AS (SELECT k, {_opened('x')} AS x FROM b1), b3 AS (SELECT k, {_opened('x')} AS x FROM b2), b4 AS (SELECT k, {_opened('x')} AS x FROM b3), b5 AS (SELECT k, '' AS o, {_opened('x')} AS x FROM b4),
+c1 AS ({_below('b5', 'required_claims', 'required_claims')}), c2 AS ({_below('c1', 'evidence', 'required_claims.evidence', 'o')}), c3 AS ({_below('b5', 'source_reviews', 'source_reviews')}),
+c4 AS ({_below('b5', 'fulltext', 'fulltext')}), c5 AS ({_below('c4', 'sections', 'fulltext.sections', 'o')}), c6 AS ({_below('c5', 'paragraphs', 'fulltext.sections.paragraphs', 'o')})"""
+
 QUERIES = {"p6_found": found, "p6_nodes": nodes, "p6_columns": columns, "p6_variants": shapes, "p6_claims": claims, "p6_evidence": evidence, "p6_reviews": reviews, "p6_texts": texts, "p6_sections": sections, "p6_paragraphs": paragraphs, "p6_others": others}
-ORACLES = {
-    "p6_columns": f"""
-WITH c AS (SELECT DISTINCT k, x, i FROM (SELECT k, {_AT.format('c', 'x', 'i')} FROM {_P}) WHERE x IS NOT NULL),
-s AS (SELECT DISTINCT k, x, i FROM (SELECT k, {_AT.format('s', 'x', 'i')} FROM {_F}) WHERE x IS NOT NULL)
-SELECT k AS record_key, 'required_claims' AS child_path, CAST(i AS VARCHAR) AS ordinals, NULL AS parent_ordinals FROM c
+_COLUMNS_WITH = f"""
+c AS (SELECT DISTINCT k, x, i FROM (SELECT k, {_AT.format('c', 'x', 'i')} FROM {_P}) WHERE x IS NOT NULL),
+s AS (SELECT DISTINCT k, x, i FROM (SELECT k, {_AT.format('s', 'x', 'i')} FROM {_F}) WHERE x IS NOT NULL)"""
+_COLUMNS = f"""SELECT k AS record_key, 'required_claims' AS child_path, CAST(i AS VARCHAR) AS ordinals, NULL AS parent_ordinals FROM c
 UNION SELECT k, 'required_claims.evidence', i || '.' || j, CAST(i AS VARCHAR) FROM (SELECT k, i, {_AT.format('x.evidence', 'e', 'j')} FROM c) WHERE e IS NOT NULL
 UNION SELECT k, 'source_reviews', CAST(i AS VARCHAR), NULL FROM (SELECT k, {_AT.format('r', 'x', 'i')} FROM {_P}) WHERE x IS NOT NULL
 UNION SELECT k, 'fulltext', '0', NULL FROM {_F}
 UNION SELECT k, 'fulltext.sections', '0.' || i, '0' FROM s
-UNION SELECT k, 'fulltext.sections.paragraphs', '0.' || i || '.' || j, '0.' || i FROM (SELECT k, i, {_AT.format('x.paragraphs', 'e', 'j')} FROM s) WHERE e IS NOT NULL""",
+UNION SELECT k, 'fulltext.sections.paragraphs', '0.' || i || '.' || j, '0.' || i FROM (SELECT k, i, {_AT.format('x.paragraphs', 'e', 'j')} FROM s) WHERE e IS NOT NULL"""
+ORACLES = {
+    "p6_columns": f"WITH {_COLUMNS_WITH}\n{_COLUMNS}",
+    "p6_reviews": f"WITH {_RAW} SELECT k AS record_key, o AS ordinals, CAST(NULL AS VARCHAR) AS parent_ordinals, 'str' AS variant, json_extract_string(x, '$') AS source_review FROM c3 UNION SELECT k, CAST(i AS VARCHAR), NULL, 'str', x FROM (SELECT k, {_AT.format('r', 'x', 'i')} FROM {_P}) WHERE x IS NOT NULL",
+    "p6_found": f"WITH {_COLUMNS_WITH}, {_RAW}\nSELECT DISTINCT record_key, child_path, ordinals FROM ({_COLUMNS}) UNION " + " UNION ".join(f"SELECT k, path, o FROM c{n}" for n in range(1, 7)),
 }
