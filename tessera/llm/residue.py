@@ -319,7 +319,7 @@ class Model:
     """Weights, the margin from which a segment is taken, and how it did on unseen hosts."""
 
     def __init__(self, weights: np.ndarray, least: float, report: dict[str, float]):
-        self.weights, self.least, self.report = weights.astype(np.float32), least, report
+        self.weights, self.least, self.report = weights.astype(np.float32), least, {k: float(v) for k, v in report.items()}
 
 
 def _is_held_out(host: str | None) -> bool:
