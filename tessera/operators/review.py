@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.numbering import numbered
 from tessera.functions.numeric import ratio
 
 
@@ -27,7 +28,7 @@ def counter(rows: DataFrame, value: str, unknown: str = "unknown") -> DataFrame:
 def ranked_counter(rows: DataFrame, values: Column, name: str = "value") -> DataFrame:
     """(name, n, rank) over the members of arrays: most frequent first, of equals by name."""
     counts = rows.select(F.explode(values).alias(name)).where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), F.asc(name))))  # over distinct values only
+    return numbered(counts, F.desc("n"), F.asc(name), name="_place").withColumn("rank", (F.col("_place") + 1).cast("int")).drop("_place")
 
 
 def length_sum(column: str) -> Column:
