@@ -14,9 +14,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.staging import Stage
 from tessera.llm.blocks import Words, slices
 
 MIN_WORDS = 12
@@ -109,6 +111,42 @@ class _Seeds:
             yield t, item, longest, covered, self.item_size[item]
 
 
+#: Bits in which the seeds of many held-out texts are noted, so that other seeds of the corpus stay where they are.
+SEED_BITS = 27
+_CHUNK_BITS = 16
+
+
+def _among(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set: all that were noted, and some others."""
+    spot = (grams >> np.uint64(64 - SEED_BITS)).astype(np.int64)
+    return np.flatnonzero((bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1)
+
+
+def _bits(seeds: DataFrame) -> np.ndarray:
+    """The bits of all seeds, 2 ** SEED_BITS of them (16 MB) however many there are; put together by chunks on the executors."""
+
+    def noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            spot = batch.column("seed").to_numpy().view(np.uint64) >> np.uint64(64 - SEED_BITS)
+            for c in np.unique(spot >> np.uint64(_CHUNK_BITS)).tolist():
+                mine = chunks.setdefault(c, np.zeros(1 << _CHUNK_BITS, dtype=bool))
+                mine[(spot[spot >> np.uint64(_CHUNK_BITS) == c] & np.uint64((1 << _CHUNK_BITS) - 1)).astype(np.int64)] = True
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(chunks), pa.int64()), "bits": pa.array([np.packbits(x, bitorder="little").tobytes() for x in chunks.values()], pa.binary())})
+
+    def joined(part: pa.Table) -> pa.Table:
+        whole = np.zeros(1 << (_CHUNK_BITS - 3), dtype=np.uint8)
+        for raw in part.column("bits").to_pylist():
+            whole |= np.frombuffer(raw, dtype=np.uint8)
+        return pa.table({"chunk": part.column("chunk").slice(0, 1), "bits": pa.array([whole.tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (SEED_BITS - 3), dtype=np.uint8)
+    size = 1 << (_CHUNK_BITS - 3)
+    for r in seeds.select("seed").mapInArrow(noted, "chunk long, bits binary").groupBy("chunk").applyInArrow(joined, "chunk long, bits binary").collect():  # 2 ** (SEED_BITS - _CHUNK_BITS) rows of 8 kB at most
+        out[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return out
+
+
 def _columns(rows: list[tuple], ids: pa.Array) -> dict[str, pa.Array]:
     t, item, longest, covered, size = zip(*rows)
     return {"doc_id": ids.take(pa.array(t, pa.int64())), "item_id": pa.array(item, pa.string()), "longest": pa.array(longest, pa.int32()), "covered": pa.array(covered, pa.int32()), "item_size": pa.array(size, pa.int32())}
@@ -173,7 +211,7 @@ def text_leaks(
 
         out = docs.mapInArrow(scan, schema)
     else:
-        def seeds_of(column: str, kind: int):
+        def seeds_of(column: str, kind: int, bits: Broadcast | None = None):
             least, per_char = kinds[kind]
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,17 +220,22 @@ def text_leaks(
                     for a, b in slices(texts):
                         words = Words(texts[a:b], han_single=False, per_char=per_char)
                         grams, at = words.grams(least)
+                        if bits is not None:
+                            kept = _among(bits.value, grams)
+                            grams, at = grams[kept], at[kept]
                         both = np.unique(np.stack([grams.view(np.int64), words.text[at].astype(np.int64)]), axis=1)
                         yield pa.RecordBatch.from_pydict({column: batch.column(column).slice(a, b - a).take(pa.array(both[1])), "seed": pa.array(both[0])})
 
             return run
 
+        stage = Stage(documents.sparkSession, "leaks")
         candidates = None
         for kind, (_, per_char) in enumerate(kinds):
             some = rows.where(F.col("lang").isin(*char_langs)) if per_char else rows
             flat = some.select("item_id", F.explode(F.array(*(F.col(f"p{k}") for k in pieces))).alias("text")).where("text IS NOT NULL")
-            item_seeds = flat.mapInArrow(seeds_of("item_id", kind), "item_id string, seed long").distinct()
-            doc_seeds = docs.mapInArrow(seeds_of("doc_id", kind), f"doc_id {dict(docs.dtypes)['doc_id']}, seed long")
+            item_seeds = stage.put(flat.mapInArrow(seeds_of("item_id", kind), "item_id string, seed long").distinct())
+            bits = documents.sparkSession.sparkContext.broadcast(_bits(item_seeds))
+            doc_seeds = docs.mapInArrow(seeds_of("doc_id", kind, bits), f"doc_id {dict(docs.dtypes)['doc_id']}, seed long")
             pairs = doc_seeds.join(item_seeds, "seed").select("doc_id", "item_id")
             candidates = pairs if candidates is None else candidates.union(pairs)
         full = candidates.distinct().join(docs, "doc_id").join(rows, "item_id")

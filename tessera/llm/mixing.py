@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.staging import Stage
+from tessera.functions.staging import BROADCAST_BYTES, Stage
 from tessera.llm.blocks import Words, slices
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -217,7 +217,7 @@ def mixture(documents: DataFrame, targets: DataFrame, *, id: str = "doc_id", tex
 
     rates = stage.put(cells.select("p", "cap", "tokens").mapInArrow(rated, "p array<double>, cap double, rate double, hard boolean, best int, all long"))
     n_rates = rates.count()
-    small = F.broadcast(rates) if n_rates <= 100_000 else rates
+    small = F.broadcast(rates) if n_rates * (n + 8) * 8 <= BROADCAST_BYTES else rates
     used = rows.join(small, ["p", "cap"])
     base, part = F.floor("rate").cast("int"), F.col("rate") - F.floor("rate")
     h = F.xxhash64("doc_id")

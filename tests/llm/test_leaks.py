@@ -78,3 +78,14 @@ def test_long_text_copies_and_empty_tables(spark):
     items = spark.createDataFrame([("i", None, words, None, 1), ("i", None, words, None, 1), (None, "en", words, None, 2)], ITEMS)
     assert [(r["doc_id"], r["item_id"]) for r in text_leaks(docs, items).collect()] == [(1, "i")]
     assert text_leaks(docs.limit(0), items).count() == 0 and text_leaks(docs, items.limit(0)).count() == 0
+
+
+def test_noted_seeds_are_all_found_and_few_others(spark):
+    from tessera.llm.leaks import _among, _bits
+
+    rng = np.random.default_rng(2)
+    seeds, others = rng.integers(-(2**63), 2**63 - 1, 5000), rng.integers(-(2**63), 2**63 - 1, 20_000)
+    bits = _bits(spark.createDataFrame([(int(x),) for x in seeds], "seed long").repartition(5))
+    assert len(_among(bits, seeds.view(np.uint64))) == len(seeds)
+    assert len(_among(bits, others.view(np.uint64))) < 20
+    assert not _bits(spark.createDataFrame([], "seed long")).any()
