@@ -85,22 +85,36 @@ def matching(rows: DataFrame, id: str, text: Column, pattern: str) -> DataFrame:
     return rows.where(F.coalesce(text.rlike(pattern), F.lit(False))).select(id)
 
 
+#: Characters by which long anchors are joined when they are many.
+SEED = 16
+
+
 def anchors_held(rows: DataFrame, id: str, text: str, anchors: DataFrame, anchor_id: str, anchor: str, block: int = 100_000) -> DataFrame:
     """(id, anchor_id): rows whose text holds an anchor, letter case aside.
 
-    The anchors are sought all at once by an automaton; more than ``block`` of
-    them are sought in blocks of about so many, one pass over the rows each.
-    Null texts and null or empty anchors hold nothing.
+    Up to ``block`` anchors are sought all at once by an automaton, in one pass
+    over the rows.  More are joined by their first SEED characters with those
+    that a text has at any place, and then sought in the text as a whole, in one
+    pass too; of these, anchors shorter than SEED go through the automaton, in
+    blocks.  Null texts and null or empty anchors hold nothing.
     """
     wanted = anchors.where(F.length(anchor) > 0).select(F.col(anchor_id).alias("_id"), F.lower(anchor).alias("_anchor")).distinct()
-    blocks = max(1, -(-wanted.count() // block))
     kinds = f"{id} {dict(rows.dtypes)[id]}, {anchor_id} {dict(anchors.dtypes)[anchor_id]}"
     low = rows.where(F.col(text).isNotNull()).select(F.col(id), F.lower(text).alias("_text"))
+    many = wanted.count() > block
+    short = wanted.where(F.length("_anchor") < SEED) if many else wanted
+    blocks = max(1, -(-short.count() // block)) if many else 1
     out: DataFrame | None = None
     for k in range(blocks):
-        mine = [tuple(r) for r in wanted.where(F.pmod(F.xxhash64("_anchor"), F.lit(blocks)) == k).collect()]  # about a block
+        mine = [tuple(r) for r in short.where(F.pmod(F.xxhash64("_anchor"), F.lit(blocks)) == k).collect()]  # about a block
         hits = low.mapInArrow(_automaton(mine, id, anchor_id), kinds)
         out = hits if out is None else out.union(hits)
+    if many:
+        long = wanted.where(F.length("_anchor") >= SEED).withColumn("_seed", F.xxhash64(F.substring("_anchor", 1, SEED)))
+        places = F.when(F.length("_text") >= SEED, F.transform(F.sequence(F.lit(1), F.length("_text") - SEED + 1), lambda i: F.xxhash64(F.col("_text").substr(i, F.lit(SEED)))))
+        seeds = low.select(id, F.explode(F.array_distinct(places)).alias("_seed")).join(long.select("_seed").distinct(), "_seed", "left_semi")
+        near = seeds.join(long, "_seed").select(id, "_id", "_anchor")
+        out = out.union(near.join(low, id).where(F.contains("_text", F.col("_anchor"))).select(id, F.col("_id").alias(anchor_id)))
     return out.distinct()
 
 

@@ -73,6 +73,24 @@ def test_anchors(spark, block):
     assert v.anchors_held(docs, "doc", "text", anchors.limit(0), "anchor", "words").count() == 0
 
 
+@pytest.mark.parametrize("block", [2, 1000])
+def test_many_long_anchors_like_brute_force(spark, block):
+    import random
+
+    rng = random.Random(8)
+    word = lambda: rng.choice(["islet", "胰岛", "Matrix", "βeta", "on", "of"])
+    docs = [(k, " ".join(word() for _ in range(rng.choice((0, 3, 40))))) for k in range(40)]
+    anchors = []
+    for k in range(30):
+        text = rng.choice(docs)[1]
+        at = rng.randrange(len(text) + 1)
+        anchors.append((f"a{k}", text[at : at + rng.choice((5, 16, 17, 60))].upper()))
+    anchors.append(("none", "this stands in no document at all"))
+    want = {(d, a) for d, t in docs for a, x in anchors if x and x.lower() in t.lower()}
+    got = v.anchors_held(table(spark, docs, "doc int, text string"), "doc", "text", table(spark, anchors, "anchor string, words string"), "anchor", "words", block)
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_anchors_query_seeks_whole_questions(spark, tmp_path):
     from tessera.plans.validation import anchors
 
