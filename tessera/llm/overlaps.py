@@ -31,8 +31,8 @@ DEPTH = 8
 CELL_WORDS = {1: 8_000_000, 2: 2_000_000}
 #: Bits of the sum of a text's words by which pairs are tried before they are compared.
 SUM_BITS = 512
-#: Buckets in which words are counted for the order, and the part of the texts that is counted.
-RANK_BITS, RANK_PART = 20, 8
+#: Bits of the buckets in which words are counted for the order.
+RANK_BITS = 20
 
 #: Lower limits of the size bands; sizes in a ratio of 3 to 4 or more are of the same or of neighbouring bands.
 BANDS = [1]
@@ -193,6 +193,17 @@ def split_side(split: Column) -> Column:
     return F.when(name == "train", 1).when(name.isin("dev", "test"), 2).cast("int")
 
 
+def word_order(rows: DataFrame) -> np.ndarray:
+    """By bucket of words: its place in the common order, from the words of all texts; ``rows`` have side and text.
+
+    The driver gets a row a bucket, however many texts there are.
+    """
+    counts = rows.select("side", "text").mapInArrow(_counted, "bucket long, train long, held long").groupBy("bucket").agg(F.sum("train").alias("train"), F.sum("held").alias("held")).toPandas()
+    rank = np.zeros(1 << RANK_BITS, dtype=np.float32)
+    rank[counts["bucket"].to_numpy(dtype=np.int64)] = np.log1p(counts["train"].to_numpy(dtype=np.float64)) + np.log1p(counts["held"].to_numpy(dtype=np.float64))
+    return rank
+
+
 def _linked(df: DataFrame, id: str, split: str, text: str, coverage: float) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, coverage) of classes across splits, and the members (c1, c2, side, id) of linked and of mixed classes."""
     if coverage < 0.75:
@@ -200,13 +211,9 @@ def _linked(df: DataFrame, id: str, split: str, text: str, coverage: float) -> t
     spark = df.sparkSession
     stage = Stage(spark, "overlaps")
     rows = df.select(F.col(id).cast("string").alias("id"), split_side(F.col(split)).alias("side"), F.col(text).alias("text")).where("id IS NOT NULL AND side IS NOT NULL AND text IS NOT NULL")
-    # Only the cost depends on this sample; what comes out does not.
-    counts = rows.select("side", "text").where(F.pmod(F.xxhash64("text"), F.lit(RANK_PART)) == 0).mapInArrow(_counted, "bucket long, train long, held long").groupBy("bucket").agg(F.sum("train").alias("train"), F.sum("held").alias("held")).toPandas()
-    rank = np.zeros(1 << RANK_BITS, dtype=np.float32)
-    rank[counts["bucket"].to_numpy(dtype=np.int64)] = np.log1p(counts["train"].to_numpy(dtype=np.float64)) + np.log1p(counts["held"].to_numpy(dtype=np.float64))
     classes = stage.put(
         rows.select("side", "text")
-        .mapInArrow(_fingerprint(rank), "c1 long, c2 long, side int, n int, first array<long>, bits binary")
+        .mapInArrow(_fingerprint(word_order(rows)), "c1 long, c2 long, side int, n int, first array<long>, bits binary")
         .where("n > 0")
         .groupBy("c1", "c2")
         .agg(F.bit_or("side").alias("side"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("bits").alias("bits"))

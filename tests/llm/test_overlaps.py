@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
+from tessera.llm import overlaps
+from tessera.llm.blocks import Words
 from tessera.llm.overlaps import common_in_order, overlapping_records, split_overlaps
 
 
@@ -136,3 +139,14 @@ def test_evenly_spaced_edits_down_to_three_quarters(spark, n):
     rows.append(("d", "dev", " ".join(less)))
     assert brute(rows) == want
     assert found(spark.createDataFrame(rows, "id string, split string, text string")) == want
+
+
+def test_the_order_counts_the_words_of_every_text(spark, monkeypatch):
+    rows = [(f"r{k}", "train" if k % 3 else "dev", f"own{k} shared words of all") for k in range(40)]
+    ranks, inner = [], overlaps._fingerprint
+    monkeypatch.setattr(overlaps, "_fingerprint", lambda rank: (rank is not None and ranks.append(rank)) or inner(rank))
+    split_overlaps(spark.createDataFrame(rows, "id string, split string, text string").repartition(4))
+    want = np.zeros((2, 1 << overlaps.RANK_BITS))
+    for _, split, text in rows:
+        np.add.at(want[int(split == "dev")], overlaps._bucket(overlaps._bag(Words([text]))[0]), 1)
+    assert np.allclose(ranks[0], np.log1p(want[0]) + np.log1p(want[1]))
